@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..codelists import CodeLists
-from .text import WS, strip
+from .text import WS, let, strip
 
 # --- Fixed values ---------------------------------------------------------------------------
 UNIT_WORDS = {
@@ -78,49 +78,47 @@ def _if_in(code: Column, codes: tuple[str, ...]) -> Column:
 
 
 def unit(raw: Column, lists: CodeLists) -> Column:
-    text = strip(raw)
-    bracketed = F.upper(F.regexp_extract(text, rf"\(([A-Za-z0-9]{{2,3}})\)[{WS}]*\z", 1))
-    return result(
-        F.coalesce(
+    def rule(text: Column) -> Column:
+        bracketed = F.upper(F.regexp_extract(text, rf"\(([A-Za-z0-9]{{2,3}})\)[{WS}]*\z", 1))
+        return F.coalesce(
             _if_in(bracketed, lists.units),
             _if_in(text, lists.units),
             _if_in(F.upper(text), lists.units),
             _lookup(UNIT_WORDS, _word_key(text)),
-        ),
-        _says("unknown unit", raw),
-    )
+        )
+
+    return let(let(strip(raw), rule), lambda code: result(code, _says("unknown unit", raw)))
 
 
 def country(raw: Column, lists: CodeLists) -> Column:
-    text = strip(raw)
-    return result(
-        F.coalesce(
-            F.when(F.length(text) == 2, _if_in(F.upper(text), lists.countries)),
-            _lookup(COUNTRY_WORDS, _word_key(text)),
-        ),
-        _says("unknown country", raw),
-    )
+    def rule(text: Column) -> Column:
+        code = F.when(F.length(text) == 2, _if_in(F.upper(text), lists.countries))
+        return F.coalesce(code, _lookup(COUNTRY_WORDS, _word_key(text)))
+
+    return let(let(strip(raw), rule), lambda code: result(code, _says("unknown country", raw)))
 
 
 def vat_category(raw: Column, rate: Column | None, lists: CodeLists) -> Column:
     """raw may be NULL (nothing printed); rate is a normalised decimal string or NULL."""
-    text = F.coalesce(strip(raw), F.lit(""))
-    found = [F.when(F.length(text) <= 2, _if_in(F.upper(text), lists.vat_categories))]
-    found += [F.when(text.rlike(f"(?iu){words}"), F.lit(code)) for words, code in VAT_WORDS]
     unknown = _says("unknown VAT category", F.coalesce(raw, F.lit("")))
     if rate is None:
-        return result(F.coalesce(*found), unknown)
-    found.append(F.when(rate.try_cast("decimal(38,10)") > 0, F.lit("S")))
-    return result(
-        F.coalesce(*found),
-        F.when(rate.isNotNull(), F.lit("0 % without a category is ambiguous")).otherwise(unknown),
-    )
+        reason, by_rate = unknown, []
+    else:
+        reason = F.when(rate.isNotNull(), F.lit("0 % without a category is ambiguous")).otherwise(unknown)
+        by_rate = [F.when(rate.try_cast("decimal(38,10)") > 0, F.lit("S"))]
+
+    def rule(text: Column) -> Column:
+        found = [F.when(F.length(text) <= 2, _if_in(F.upper(text), lists.vat_categories))]
+        found += [F.when(text.rlike(f"(?iu){words}"), F.lit(code)) for words, code in VAT_WORDS]
+        return F.coalesce(*found, *by_rate)
+
+    return let(let(F.coalesce(strip(raw), F.lit("")), rule), lambda code: result(code, reason))
 
 
 def electronic_address(raw: Column) -> Column:
     mail = F.nullif(F.regexp_extract(raw, EMAIL_INSIDE, 0), F.lit(""))
     bare = F.nullif(strip(F.regexp_replace(raw, SCHEME_NOTE, "")), F.lit(""))
-    return result(F.coalesce(mail, bare), F.lit("empty electronic address"))
+    return let(F.coalesce(mail, bare), lambda v: result(v, F.lit("empty electronic address")))
 
 
 def address_scheme(value: Column, is_buyer: Column) -> Column:
@@ -139,60 +137,68 @@ def currency(raw: Column) -> Column:
 
 
 def date(raw: Column) -> Column:
-    text = strip(raw)
     iso, dotted = r"^(\d{4})-(\d{2})-(\d{2})\z", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})\z"
     worded = rf"^(\d{{1,2}})\.[{WS}]*([a-zäöüA-ZÄÖÜ]+)[{WS}]+(\d{{4}})\z"
-    part = lambda pattern, n: F.regexp_extract(text, pattern, n)
     two = lambda c: F.lpad(c, 2, "0")
-    month_of_word = _lookup(MONTHS, F.lower(part(worded, 2)))
-    built = (
-        F.when(text.rlike(iso), text)
-        .when(text.rlike(dotted), F.concat_ws("-", part(dotted, 3), two(part(dotted, 2)), two(part(dotted, 1))))
-        .when(text.rlike(worded) & month_of_word.isNotNull(),
-              F.concat_ws("-", part(worded, 3), month_of_word, two(part(worded, 1))))
-    )
-    y, m, d = (F.substring(built, a, n).try_cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    days = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    real = m.between(1, 12) & (d >= 1) & (d <= days)
-    return result(
-        F.when(built.isNotNull() & real, built),
-        F.when(built.isNotNull(), F.concat(F.lit("invalid date "), built)).otherwise(_says("unrecognized date", raw)),
-    )
+
+    def rebuilt(text: Column) -> Column:
+        part = lambda pattern, n: F.regexp_extract(text, pattern, n)
+        month = _lookup(MONTHS, F.lower(part(worded, 2)))
+        return (
+            F.when(text.rlike(iso), text)
+            .when(text.rlike(dotted), F.concat_ws("-", part(dotted, 3), two(part(dotted, 2)), two(part(dotted, 1))))
+            .when(text.rlike(worded), F.concat(part(worded, 3), F.lit("-"), month, F.lit("-"), two(part(worded, 1))))
+        )
+
+    def judged(built: Column) -> Column:
+        y, m, d = (F.substring(built, a, n).try_cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        days = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+        real = m.between(1, 12) & (d >= 1) & (d <= days)
+        reason = F.coalesce(F.concat(F.lit("invalid date "), built), _says("unrecognized date", raw))
+        return result(F.when(built.isNotNull() & real, built), reason)
+
+    return let(let(strip(raw), rebuilt), judged)
 
 
 def decimal(raw: Column, number_format: Column) -> Column:
     """number_format is 'de', 'plain' or NULL (unknown: only unambiguous numbers pass)."""
-    bare = F.regexp_replace(F.regexp_replace(strip(raw), rf"(?i)[{WS}]|€|eur", ""), r"^\+", "")
-    negative = bare.rlike(r"^-|-\z")
-    t = F.regexp_replace(bare, r"^-|-\z", "")
-    no_number = _says("not a number", raw)
-    ambiguous = _says("ambiguous number", raw)
-
-    dots, commas = F.regexp_count(t, F.lit(r"\.")), F.regexp_count(t, F.lit(","))
-    last_is_comma = F.locate(",", F.reverse(t)) < F.locate(".", F.reverse(t))
-    without_dots = F.replace(t, F.lit("."), F.lit(""))
-    without_commas = F.replace(t, F.lit(","), F.lit(""))
+    without = lambda c, sign: F.replace(c, F.lit(sign), F.lit(""))
     first_comma_to_dot = lambda c: F.regexp_replace(c, r"^([^,]*),", "$1.")
-    three_after_dot = F.length(F.split_part(t, F.lit("."), F.lit(2))) == 3
     is_de = F.coalesce(number_format == "de", F.lit(False))
 
-    unclear = (commas == 0) & (dots > 0) & (
-        ((dots > 1) & ~is_de) | ((dots == 1) & three_after_dot & number_format.isNull())
-    )
-    plain = (
-        F.when((dots > 0) & (commas > 0), F.when(last_is_comma, first_comma_to_dot(without_dots)).otherwise(without_commas))
-        .when(commas > 1, without_commas)
-        .when(commas == 1, first_comma_to_dot(t))
-        .when((dots > 1) | ((dots == 1) & three_after_dot & is_de), without_dots)
-        .otherwise(t)
-    )
-    numeric = t.rlike(r"^[0-9.,]+\z") & t.rlike("[0-9]")
-    value = F.when(
-        numeric & ~unclear & plain.rlike(r"^[0-9]+(\.[0-9]+)?\z"),
-        F.when(negative & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain),
-    )
-    return result(value, F.when(numeric & unclear, ambiguous).otherwise(no_number))
+    def measured(bare: Column) -> Column:
+        t = F.regexp_replace(bare, r"^-|-\z", "")
+        return F.struct(
+            t.alias("t"), bare.rlike(r"^-|-\z").alias("negative"),
+            (F.length(t) - F.length(without(t, "."))).alias("dots"), (F.length(t) - F.length(without(t, ","))).alias("commas"),
+            (t.rlike(r"^[0-9.,]+\z") & t.rlike("[0-9]")).alias("numeric"))
+
+    def unified(m: Column) -> Column:
+        t, dots, commas = m["t"], m["dots"], m["commas"]
+        three_after_dot = t.rlike(r"^[^.]*\.[^.]{3}\z")
+        last_is_comma = t.rlike(r",[^.]*\z")
+        unclear = (commas == 0) & (dots > 0) & (
+            ((dots > 1) & ~is_de) | ((dots == 1) & three_after_dot & number_format.isNull())
+        )
+        plain = (
+            F.when((dots > 0) & (commas > 0), F.when(last_is_comma, first_comma_to_dot(without(t, "."))).otherwise(without(t, ",")))
+            .when(commas > 1, without(t, ","))
+            .when(commas == 1, first_comma_to_dot(t))
+            .when((dots > 1) | ((dots == 1) & three_after_dot & is_de), without(t, "."))
+            .otherwise(t)
+        )
+        return F.struct(plain.alias("plain"), m["negative"].alias("negative"), m["numeric"].alias("numeric"), unclear.alias("unclear"))
+
+    def judged(u: Column) -> Column:
+        plain = u["plain"]
+        signed = F.when(u["negative"] & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
+        good = u["numeric"] & ~u["unclear"] & plain.rlike(r"^[0-9]+(\.[0-9]+)?\z")
+        reason = F.when(u["numeric"] & u["unclear"], _says("ambiguous number", raw)).otherwise(_says("not a number", raw))
+        return result(F.when(good, signed), reason)
+
+    bare = F.regexp_replace(F.regexp_replace(strip(raw), rf"(?i)[{WS}]|€|eur", ""), r"^\+", "")
+    return let(let(let(bare, measured), unified), judged)
 
 
 def rate(raw: Column, number_format: Column) -> Column:
@@ -200,8 +206,8 @@ def rate(raw: Column, number_format: Column) -> Column:
 
 
 def iban(raw: Column) -> Column:
-    t = F.upper(F.regexp_replace(raw, f"[{WS}]", ""))
-    return result(F.when(t.rlike(IBAN_SHAPE), t), F.lit("not an IBAN"))
+    compact = F.upper(F.regexp_replace(raw, f"[{WS}]", ""))
+    return let(compact, lambda t: result(F.when(t.rlike(IBAN_SHAPE), t), F.lit("not an IBAN")))
 
 
 def exemption_code(raw: Column) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Whitespace as the extraction side defines it (regex class body).
 WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -18,7 +20,7 @@ _PLAIN = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
@@ -29,6 +31,11 @@ def nfkc(col: Column) -> Column:
     return F.coalesce(_nfkc(F.when(odd, col)), col)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, f"[{WS}]+", " "))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _bucketed(df: DataFrame, keys: list[str], buckets: list[Column]) -> tuple[DataFrame, list[str]]:
@@ -36,9 +37,12 @@ def sum_before(df: DataFrame, keys: list[str], order: list[Column], buckets: lis
     """Sum of amount over the rows strictly before this one inside its key (0 for the first)."""
     marked, names = _bucketed(df, keys, buckets)
     earlier = W.partitionBy(*keys, *names).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0)
-    summed = _with_offset(marked, keys, names, F.sum(amount))
-    total = F.coalesce(F.sum(amount).over(earlier), zero) + F.coalesce("__before", zero)
+    # Both parts in one type: adding two wide decimals as they come would cost digits after the point.
+    kind = df.schema[amount].dataType
+    wide = T.DecimalType(min(38, kind.precision + 10), kind.scale) if isinstance(kind, T.DecimalType) else T.LongType()
+    part = lambda c: F.coalesce(c, F.lit(0)).cast(wide)
+    summed = _with_offset(marked, keys, names, F.sum(amount).cast(wide))
+    total = part(F.sum(amount).over(earlier)) + part(F.col("__before"))
     return summed.withColumn(out, total).drop(*names, "__before")
 
 
