@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import amounts, ordering, tables
+from ..session import materialise
 
 
 def _text(c: Column | str) -> Column:
@@ -86,7 +87,8 @@ class Tables:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        return tables.nest_invoice(self.flat_invoices)
+        """Stored, like the invoice table of a real pipeline: most jobs below read it more than once."""
+        return materialise(tables.nest_invoice(self.flat_invoices), "invoices")
 
     @cached_property
     def _line_facts(self) -> DataFrame:
@@ -118,7 +120,7 @@ class Tables:
         placed = ordering.index_rows(
             self._line_facts, ["doc_id"], [F.col(c) for c in self.ORDER],
             [F.col("l_linenumber"), F.expr("l_partkey div 64")], "line_index")
-        return placed.drop(*self.ORDER).withColumn("id", _text(F.col("line_index") + 1))
+        return materialise(placed.drop(*self.ORDER).withColumn("id", _text(F.col("line_index") + 1)), "lines")
 
     @cached_property
     def exemptions(self) -> DataFrame:

@@ -22,7 +22,7 @@ def parse_validator_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     processing error is a finding of rule PROCESSING, and there is no hash.
     """
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "attributePrefix": "_", "valueTag": "_VALUE", "nullValue": "\u0000"}
-    parsed = reports.withColumn("x", F.from_xml("report", REPORT_DDL, options))
+    parsed = reports.select("*", F.explode(F.array(F.from_xml("report", REPORT_DDL, options))).alias("x"))
     readable = F.col("report").isNotNull() & F.col("x").isNotNull() & F.col("x._corrupt_record").isNull()
     marked = parsed.withColumn("ok", readable)
     verdict = marked.select(
