@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_amounts, queries_model, queries_runs, queries_score, queries_text  # noqa: F401
+from . import queries_amounts, queries_corpus, queries_model, queries_repair, queries_runs, queries_score, queries_text  # noqa: F401
 from .bindings import Tables
 from .registry import QUERIES, SQL
 

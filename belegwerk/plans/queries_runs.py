@@ -24,8 +24,8 @@ def audit_chain_streamed(t: Tables) -> DataFrame:
     return audit.build_audit_chain(t.audit_events, fold_limit=0).select("run_id", "seq", "prev_hash", "hash")
 
 
-def _tampered(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(runs, parsed lines) after events were changed, deleted, unlinked or garbled in some runs."""
+def tampered_lines(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(runs, lines) after events were changed, deleted, unlinked or garbled in some runs."""
     r = F.col("run_id").cast("long")
     chain = audit.build_audit_chain(t.audit_events)
     hit = lambda n, at: (r % 7 == n) & (F.col("seq") == at)
@@ -37,7 +37,7 @@ def _tampered(t: Tables) -> tuple[DataFrame, DataFrame]:
     )
     kept = chain.withColumn("line", line).where(~hit(4, 1)).where(r % 7 != 5)
     texts = kept.select("run_id", (F.col("seq") - F.when((r % 7 == 4) & (F.col("seq") > 1), 1).otherwise(0)).alias("line_no"), "line")
-    return t.audit_events.select("run_id").distinct(), audit.parse_audit_lines(texts)
+    return t.audit_events.select("run_id").distinct(), texts
 
 
 part("run_len", "SELECT run_id, count(*) AS n, CAST(run_id AS BIGINT) % 7 AS k FROM audit GROUP BY run_id", "audit")
@@ -51,7 +51,8 @@ FROM run_len""", "run_len")
 
 @query("audit_verdicts", with_parts("SELECT run_id, reason IS NULL AS ok, events, seq, reason FROM run_verdict", "run_verdict"))
 def audit_verdicts(t: Tables) -> DataFrame:
-    runs, parsed = _tampered(t)
+    runs, texts = tampered_lines(t)
+    parsed = audit.parse_audit_lines(texts)
     return audit.verify_audit_chain(parsed, runs)
 
 
