@@ -115,46 +115,45 @@ def page_lines(pages: DataFrame) -> DataFrame:
         "doc_id", (F.col("before") + F.col("pos")).alias("line_no"), canonical("line").alias("line_c"))
 
 
-def party_claims(facts: DataFrame, ids: list[str]) -> DataFrame:
-    """One row per id with a struct(value, quote) per party and address key, from the long fact table."""
-    paths = {f"{p}.{KEY_PATH[k]}": f"{p}_{k}" for p in PARTIES for k in KEY_PATH}
-    wanted = facts.where(F.col("path").isin(*paths))
-    fact = F.struct("value", "quote")
-    return wanted.groupBy(*ids).agg(*[F.max(F.when(F.col("path") == p, fact)).alias(c) for p, c in paths.items()])
-
+def claim_evidence_text(value: Column, quote: Column) -> Column:
+    """What the address rule compares: canonical value and quote, and the canonical first line of each."""
+    first_line = lambda c: canonical(F.get(F.split(c, r"\n|\\n", -1), F.lit(0)))
+    return F.struct(
+        canonical(value).alias("value"), canonical(quote).alias("quote"), first_line(value).alias("value_head"), first_line(quote).alias("quote_head"))
 
-def _head(text: Column) -> Column:
-    return canonical(F.get(F.split(text, r"\n|\\n", -1), F.lit(0)))
 
-
-def _filled(col: Column) -> Column:
-    return F.nullif(canonical(col), F.lit(""))
+def party_claims(facts: DataFrame, ids: list[str]) -> DataFrame:
+    """One row per id with a struct of canonical texts per party and address key, from the long fact table."""
+    paths = {f"{p}.{KEY_PATH[k]}": f"{p}_{k}" for p in PARTIES for k in KEY_PATH}
+    wanted = facts.where(F.col("path").isin(*paths)).select(*ids, "path", claim_evidence_text(F.col("value"), F.col("quote")).alias("__e"))
+    return wanted.groupBy(*ids).agg(*[F.max(F.when(F.col("path") == p, F.col("__e"))).alias(c) for p, c in paths.items()])
 
 
 def shared_address_losers(claims: DataFrame, pages: DataFrame, texts_c: DataFrame, ids: list[str]) -> DataFrame:
     """ids + (party, key) for every address fact whose printed line belongs to the other party.
 
     A line printed once goes to the party whose name or street is printed closest; a tie takes it from both.
+    claims come from party_claims.
     """
     c = claims.join(texts_c, "doc_id", "left")
     text = F.coalesce("text_c", F.lit(""))
-    once = lambda col: overlapping_count(text, canonical(col)) == 1
+    once = lambda col: overlapping_count(text, col) == 1
     cols: dict[str, Column] = {}
     for key in ADDRESS_KEYS:
         s, b = F.col(f"seller_{key}"), F.col(f"buyer_{key}")
         both = s.isNotNull() & b.isNotNull()
         mine = F.coalesce(s, b)
-        same_line = (canonical(s["quote"]) == canonical(b["quote"])) & once(s["quote"])
-        same_value = (canonical(s["value"]) == canonical(b["value"])) & once(s["value"])
+        same_line = (s["quote"] == b["quote"]) & once(s["quote"])
+        same_value = (s["value"] == b["value"]) & once(s["value"])
         cols[f"owner_{key}"] = F.when(both, "both").when(s.isNotNull(), "seller").when(b.isNotNull(), "buyer")
         # NULL: nothing to decide. An empty head is looked for nowhere, but still decided.
         cols[f"head_{key}"] = (
-            F.when(both, F.when(same_line, _head(s["quote"])).when(same_value, _head(s["value"])))
-            .when(mine.isNotNull() & once(mine["value"]), _head(mine["value"]))
+            F.when(both, F.when(same_line, s["quote_head"]).when(same_value, s["value_head"]))
+            .when(mine.isNotNull() & once(mine["value"]), mine["value_head"])
         )
     for p in PARTIES:
-        cols[f"{p}_at_name"] = _filled(F.col(f"{p}_name")["value"])
-        cols[f"{p}_at_street"] = _filled(F.col(f"{p}_street")["value"])
+        cols[f"{p}_at_name"] = F.nullif(F.col(f"{p}_name")["value"], F.lit(""))
+        cols[f"{p}_at_street"] = F.nullif(F.col(f"{p}_street")["value"], F.lit(""))
     heads = [f"head_{k}" for k in ADDRESS_KEYS]
     anchors = [f"{p}_at_{a}" for p in PARTIES for a in ("name", "street")]
     open_claims = (
