@@ -43,7 +43,7 @@ def evidence_rejected(t: Tables) -> DataFrame:
 @query("quote_occurrences", with_parts("""
 SELECT d.doc_id, substring(d.text, 11, 3) AS quote, CASE WHEN q = '' THEN 0 ELSE
   len(list_filter(range(1, length(text_c) - length(q) + 2), lambda i: substr(text_c, i, length(q)) = q)) END AS n
-FROM (SELECT *, lower(trim(substring(text, 11, 3), ' ' || chr(10))) AS q FROM documents) d JOIN text_c USING (doc_id)""", "text_c"))
+FROM (SELECT *, lower(trim(replace(substring(text, 11, 3), chr(10), ' '))) AS q FROM documents) d JOIN text_c USING (doc_id)""", "text_c"))
 def quote_occurrences(t: Tables) -> DataFrame:
     quotes = t.table("documents").select("doc_id", F.substring("text", 11, 3).alias("quote"))
     return evidence.find_occurrences(quotes, evidence.document_text(t.pages))
