@@ -108,10 +108,11 @@ UNION ALL SELECT doc_id, 'BR-CL-23', 'error', '/lines/' || line_index FROM line
 UNION ALL SELECT doc_id, 'BR-S-02', 'error', '/lines' FROM inv WHERE seller_vat IS NULL AND seller_tax IS NULL AND doc_id IN (SELECT doc_id FROM line WHERE vat_category = 'S')""", "inv", "line")
 
 
-@query("line_rules", with_parts("""SELECT * FROM line_finding UNION ALL SELECT doc_id, 'BR-CL-18', 'error', '/lines/' || line_index FROM line WHERE line_index = 2
-UNION ALL SELECT doc_id, 'BR-O-05', 'error', '/lines/' || line_index FROM line WHERE line_index <> 2 AND vat_category = 'O' AND doc_id % 2 = 0""", "line_finding").replace("""vat_category = 'S')
-)""", """vat_category = 'S' AND line_index <> 2)
-)"""))
+@query("line_rules", with_parts("""
+SELECT * FROM line_finding WHERE rule_id <> 'BR-S-02'
+UNION ALL SELECT doc_id, 'BR-S-02', 'error', '/lines' FROM inv WHERE seller_vat IS NULL AND seller_tax IS NULL AND doc_id IN (SELECT doc_id FROM line WHERE vat_category = 'S' AND line_index <> 2)
+UNION ALL SELECT doc_id, 'BR-CL-18', 'error', '/lines/' || line_index FROM line WHERE line_index = 2
+UNION ALL SELECT doc_id, 'BR-O-05', 'error', '/lines/' || line_index FROM line WHERE line_index <> 2 AND vat_category = 'O' AND doc_id % 2 = 0""", "line_finding", "inv", "line"))
 def line_rules(t: Tables) -> DataFrame:
     third = F.col("line_index") == 2
     lines = t.lines.withColumns({
