@@ -51,8 +51,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array without nulls end to end, and the n + 1 offsets into them."""
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    wide = isinstance(column.type, type(pa.large_string()))
+    kind = np.dtype(np.int64 if pa.types.is_large_string(column.type) else np.int32)
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1]
+    at = np.frombuffer(offsets, kind, len(column) + 1, column.offset * kind.itemsize)
     flat = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.empty(0, np.uint8)
     return flat, at.astype(np.int64) - int(at[0])
