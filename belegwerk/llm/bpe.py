@@ -10,8 +10,9 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import slices
 
 #: Texts over this many characters are encoded in pieces of about this size.
 PIECE = 50_000
@@ -53,24 +54,21 @@ def encode(enc: tiktoken.Encoding, pattern: regex.Pattern, text: str, size: int
     return ids
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, piece: int = PIECE) -> DataFrame:
-    """One row per row of `docs`: doc_id, text_key, ids (array of int).
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, piece: int = PIECE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, ids (array of int), and the columns named in `carry` as they were.
 
     Null and empty texts have no ids; repeated rows are encoded each; null doc_ids stay. Special tokens in a text are
-    ordinary text. Other columns of `docs` are left out, so their names cannot clash. The work is a map over rows:
-    nothing is shuffled, and one task holds one small batch of texts."""
+    ordinary text. Other columns are left out, so their names cannot clash. The work is a map over rows: nothing is
+    shuffled, and one task holds one small batch of texts."""
+    given = docs.select(F.struct("doc_id", *carry).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pat = encoding(ranks_path, pattern), regex.compile(pattern)
         for batch in slices(batches):
             ids = [encode(enc, pat, text, piece) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(ids, pa.list_(pa.int32()))],
-                ["doc_id", "text_key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
-    given = documents(docs)
-    key = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInArrow(run, f"doc_id {key}, text_key bigint, ids array<int>")
+    return given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, ids array<int>").select("row.*", "ids")
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -123,6 +123,28 @@ class _Plan:
                         yield window, s
 
 
+def _plans(docs: DataFrame, items: DataFrame, window: int, shingle: int, block: int) -> Iterator[_Plan]:
+    """The windows in blocks, each with the prefix shingles that are rarest in `docs` (doc_id, text, text_key)."""
+    rows: list[tuple[list[int], list[str]]] = []
+
+    def plan() -> _Plan:
+        wanted: dict[int, set[int]] = {}
+        for words, _ in rows:
+            values = np.array(words, np.int64).view(np.uint64)
+            wanted.setdefault(min(shingle, len(words)), set()).update(int(g) for g in _shingles(values, shingle))
+        sought = {size: np.array(sorted(keys), np.uint64) for size, keys in wanted.items()}
+        return _Plan(rows, _seen(docs, sought) if rows else {}, shingle)
+
+    done = False
+    for row in _windows(items, window).orderBy(F.xxhash64("words"), "words").toLocalIterator():
+        rows.append((row["words"], row["items"]))
+        if len(rows) == block:
+            yield plan()
+            rows, done = [], True
+    if rows or not done:
+        yield plan()
+
+
 def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """One row per row of `docs`: doc_id, text_key, n_words, hits (array of (start, end), the maximal runs of hit words,
     end exclusive) and items (sorted ids, as strings, of the items with a window in the document).
@@ -136,25 +158,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     The windows go to the tasks in blocks of at most `block`, one pass over the documents for each, so what is
     broadcast is bounded (about 100 bytes a window); documents are never shuffled, so no passage or source is hot."""
     given = documents(docs)
-    blocks: list[_Plan] = []
-    rows: list[tuple[list[int], list[str]]] = []
-
-    def plan() -> None:
-        wanted: dict[int, set[int]] = {}
-        for words, _ in rows:
-            values = np.array(words, np.int64).view(np.uint64)
-            wanted.setdefault(min(shingle, len(words)), set()).update(int(g) for g in _shingles(values, shingle))
-        sought = {size: np.array(sorted(keys), np.uint64) for size, keys in wanted.items()}
-        blocks.append(_Plan(rows, _seen(given, sought), shingle))
-
-    for row in _windows(items, window).toLocalIterator():
-        rows.append((row["words"], row["items"]))
-        if len(rows) == block:
-            plan()
-            rows = []
-    if rows or not blocks:
-        plan()
-    passes = [_pass(given, p) for p in blocks]
+    passes = [_pass(given, p) for p in _plans(given, items, window, shingle, block)]
     if len(passes) == 1:
         return passes[0]
     # Several blocks: the passes run over the same rows in the same order, so rows are matched by document.
@@ -211,3 +215,27 @@ def _pass(given: DataFrame, plan: _Plan) -> DataFrame:
     key = given.schema["doc_id"].dataType.simpleString()
     return given.mapInArrow(
         run, f"doc_id {key}, text_key bigint, n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The rows of `docs` without any window of an item, all columns as they were. Windows, words and blocks are those
+    of `find_windows`; every block of windows is one pass that drops rows where they stand, so nothing is shuffled."""
+    out = docs
+    for plan in _plans(documents(docs), items, window, shingle, block):
+        out = _clean(out, plan)
+    return out
+
+
+def _clean(docs: DataFrame, plan: _Plan) -> DataFrame:
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            values, bounds = word_values(*text_bytes(batch.column("text")), ALPHANUMERIC)
+            clean = np.ones(batch.num_rows, bool)
+            starts = np.array([s for _, s in shared.value.occurrences(values, bounds)], np.int64)
+            clean[np.searchsorted(bounds, starts, "right") - 1] = False
+            yield batch.select(["row"]).filter(pa.array(clean))
+
+    return inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}").select("row.*")

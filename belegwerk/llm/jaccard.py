@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, slices, text_bytes, written
@@ -228,6 +228,24 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of `docs` without near duplicates: of each component of `jaccard_components` the document with the
+    least doc_id stays (of rows that share it the one with the least text_key), and one row of it. Documents without
+    shingles are linked with nothing and all stay. All columns are as they were."""
+    found = jaccard_components(docs, rule)
+    stay = (found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("d"))
+        .select(F.xxhash64("d.doc_id").alias("i"), F.col("d.text_key").alias("k"), F.col("d.doc_id").alias("id")))
+    alone = (found.where("n_shingles = 0").select(F.xxhash64("doc_id").alias("i"), F.col("text_key").alias("k"), F.col("doc_id").alias("id")).distinct()
+             .withColumn("all", F.lit(True)))
+    stay = stay.distinct().withColumn("all", F.lit(False)).unionByName(alone)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id").alias("i"),
+                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"))
+    met = rows.join(stay, ["i", "k"]).where(F.col("row.doc_id").eqNullSafe(F.col("id")))
+    first = F.row_number().over(Window.partitionBy("i", "k").orderBy("id"))
+    return met.withColumn("n", first).where("n = 1 or all").select("row.*")
+
+
 def _texts(given: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the nodes that a product needs: those in the columns of `wanted`."""
     names = [wanted.select(F.col(c).alias("node")) for c in wanted.columns]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes, written
@@ -150,9 +150,12 @@ def _labels(labels: DataFrame, limit: int) -> DataFrame:
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
 
 
-def _view_columns(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"),
-                       F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
+def _view_columns(columns: list[str]) -> list[Column]:
+    """text, lang, source and n_chars; a column that the table lacks is null."""
+    def has(name: str, kind: str) -> Column:
+        return (F.col(name) if name in columns else F.lit(None)).cast(kind).alias(name)
+
+    return [F.coalesce(F.col("text"), F.lit("")).alias("text"), has("lang", "string"), has("source", "string"), has("n_chars", "double")]
 
 
 def _lexicon(sample: DataFrame, size: int) -> np.ndarray:
@@ -182,7 +185,7 @@ def _lexicon(sample: DataFrame, size: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Model:
     """Fit both views on a bounded sample (see `Training`). Labels of documents that are not there are ignored."""
     chosen = _labels(labels, training.labelled)
-    views = _view_columns(docs)
+    views = docs.select("doc_id", *_view_columns(docs.columns))
     # Bounded by the parameters: at most `labelled` and `pool` ids are broadcast.
     known = written(views.join(F.broadcast(chosen), "doc_id"), "labelled")
     seen = known.agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b")).first()
@@ -249,17 +252,10 @@ def _co_train(shapes: np.ndarray, words: np.ndarray, meta: np.ndarray, good: np.
     return Model(lexicon, centre, scale, weights[0], weights[1], scales[0], scales[1], combined)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Every row of `docs` with text_score, meta_score, score (chance of being good) and keep (score >= threshold).
-
-    All input columns stay; the three scores and keep replace columns of the same names, case aside. Null texts are
-    empty texts, nulls in other columns are values of their own. A map over rows: nothing is shuffled."""
+def _scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """row (all columns of `docs`), text_score, meta_score, score, keep."""
     made = ["text_score", "meta_score", "score", "keep"]
-    kept = [c for c in docs.columns if c.lower() not in made]
-    given = docs.select(*(F.col(f"`{c}`") for c in kept))
-    inner = given.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-                         F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
-                         F.col("n_chars").cast("double").alias("n_chars"))
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_view_columns(docs.columns))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +268,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 [batch.column("row"), pa.array(text), pa.array(meta), pa.array(both), pa.array(both >= threshold)],
                 ["row", *made])
 
-    schema = f"row {inner.schema["row"].dataType.simpleString()}, text_score double, meta_score double, score double, keep boolean"
-    return inner.mapInArrow(run, schema).select("row.*", *made)
+    kind = inner.schema["row"].dataType.simpleString()
+    return inner.mapInArrow(run, f"row {kind}, text_score double, meta_score double, score double, keep boolean")
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """Every row of `docs`: doc_id, text_score, meta_score, score (chance of being good) and keep (score >= threshold).
+
+    Null texts are empty texts, nulls in the other columns are values of their own; repeated rows have a row each;
+    other columns play no part. A map over rows: nothing is shuffled."""
+    return _scored(docs, model, threshold).select("row.doc_id", "text_score", "meta_score", "score", "keep")
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` with a score of at least `threshold`, all columns as they were."""
+    return _scored(docs, model, threshold).where("keep").select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, training: Training = Training(), threshold: float = 0.5) -> DataFrame:
