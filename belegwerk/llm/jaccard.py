@@ -1,9 +1,9 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Documents with the same n-gram set are one node. The product is restricted to entries that can reach the bound: an
-n-gram order (rare first) gives every node a prefix that any partner must meet, and sizes must fit. A first product
-takes each node against one leader per shared n-gram; a second takes what is then still in different components
-against the blocks of the other component. Overlaps are accumulated inside tasks and pairs under the bound discarded
+n-gram order (rare first) gives every node a prefix that any partner must meet, and sizes and positions must fit. A
+first product takes each node against one leader per shared n-gram; a second takes what is then still in different
+components against the blocks of the other component. Overlaps are accumulated inside tasks and pairs under the bound discarded
 there, so a group of m copies costs about m rows, not m * m."""
 
 from __future__ import annotations
@@ -114,9 +114,10 @@ def _described(given: DataFrame, rule: Rule) -> DataFrame:
     return given.mapInArrow(run, f"doc_id {key}, text_key bigint, n bigint, node binary, prefix array<bigint>")
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """The size bound: the smaller set must hold `percent` of the larger."""
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+def _reaches(n: Column, pos: Column, other: Column, percent: int) -> Column:
+    """Size and position bound: a node of n shingles whose first shared one has `pos` rarer ones before it can still
+    hold the overlap that a link with a node of `other` shingles needs."""
+    return (n - pos) * (100 + percent) >= percent * (n + other)
 
 
 def _product(members: DataFrame, queries: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -161,9 +162,9 @@ def _product(members: DataFrame, queries: DataFrame, texts: DataFrame, rule: Rul
                     if ids[k] != node:
                         left.append(node)
                         right.append(ids[k])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -174,37 +175,52 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     is one shingle. Null and empty texts have no shingles, link with nothing and keep their own id. Rows with equal
     sets link with each other, repeated rows included. An empty table gives no rows; other columns are left out. All
     links are found: the prefix bound is exact, and its candidates are all verified or already connected."""
+    return _grouped(docs, rule).drop("root")
+
+
+def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
+    """`jaccard_components` with root, a number of the component (null without shingles)."""
     given = documents(docs)
-    rows = written(_described(given, rule), "sets")
-    # One row per node: the copies of a set go together before anything is compared.
-    nodes = written(rows.where("n > 0").groupBy("node").agg(
+    described = _described(given, rule)
+    rows = written(described.drop("prefix"), "sets")
+    # One row per node: the copies of a set go together before anything is compared. The number of a node is fixed
+    # where the table is written.
+    nodes = described.where("n > 0").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix")), "nodes")
-    postings = nodes.select("node", "n", F.explode("prefix").alias("token"))
+        F.first("prefix").alias("prefix"))
+    nodes = written(nodes.withColumnRenamed("node", "set").withColumn("node", F.monotonically_increasing_id()), "nodes")
     reps = nodes.select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_key").alias("r_key"))
+    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    # Most shingles of a prefix are in one document only; what is left is small.
+    several = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    shared = written(postings.join(several, "token"), "postings")
 
+    # First product: per shingle and size band, everything against the node that has the fewest rarer shingles, which
+    # is the least changed of a group of near copies.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / rule.percent))).cast("int")
-    placed = postings.withColumn("band", band)
-    leaders = (placed.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("lead"),
-                                                  F.count(F.lit(1)).alias("c")).where("c > 1"))
+    placed = shared.withColumn("band", band)
+    leaders = placed.groupBy("token", "band").agg(F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")).alias("lead"))
     star = (placed.join(leaders, ["token", "band"]).where(F.col("node") != F.col("lead.node"))
-            .where(_fits(F.col("n"), F.col("lead.n"), rule.percent))
+            .where(_reaches(F.col("n"), F.col("pos"), F.col("lead.n"), rule.percent))
+            .where(_reaches(F.col("lead.n"), F.col("lead.pos"), F.col("n"), rule.percent))
             .select(F.col("lead.node").alias("block"), "node").distinct())
     star = written(star, "star")
-    first = written(_product(star.select("block", F.col("block").alias("node")).distinct(), star, _texts(given, reps, star), rule), "links")
+    heads = star.select("block", F.col("block").alias("node")).distinct()
+    first = written(_product(heads, star, _texts(given, reps, star), rule), "links")
     labels = components(first)
 
-    every = postings.join(labels, "node", "left").select(
-        "node", "n", "token", F.coalesce("component", "node").alias("label"))
-    sizes = nodes.join(labels, "node", "left").select(F.coalesce("component", "node").alias("label")).groupBy("label").agg(
-        F.count(F.lit(1)).alias("c"))
+    # Second product: nodes against the blocks of other components that share a shingle and can still reach the bound.
+    # Per shingle a component is one row: its least size, and the most that any member leaves for a partner's size.
+    every = shared.join(labels, "node", "left").select("node", "n", "pos", "token", F.coalesce("component", "node").alias("label"))
     mixed = every.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    open_ = written(every.join(mixed, "token").join(sizes, "label"), "open")
-    sides = open_.groupBy("token", "label", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sides = sides.select("token", F.col("label").alias("other"), F.col("c").alias("oc"), "least", "most")
-    asked = (open_.join(sides, "token")
-             .where((F.col("c") < F.col("oc")) | ((F.col("c") == F.col("oc")) & (F.col("label") < F.col("other"))))
-             .where((F.col("n") * 100 >= F.col("least") * rule.percent) & (F.col("most") * 100 >= F.col("n") * rule.percent))
+    sizes = labels.groupBy(F.col("component").alias("label")).agg(F.count(F.lit(1)).alias("c"))
+    open_ = written(every.join(mixed, "token").join(sizes, "label", "left").withColumn("c", F.coalesce("c", F.lit(1))), "open")
+    sides = open_.groupBy("token", "label", "c").agg(
+        F.min("n").alias("least"), F.max(100 * F.col("n") - (100 + rule.percent) * F.col("pos")).alias("leaves"))
+    sides = sides.select("token", F.col("label").alias("other"), F.col("c").alias("oc"), "least", "leaves")
+    asked = (open_.join(sides, (open_["token"] == sides["token"])
+                        & ((F.col("c") < F.col("oc")) | ((F.col("c") == F.col("oc")) & (F.col("label") < F.col("other"))))
+                        & _reaches(F.col("n"), F.col("pos"), F.col("least"), rule.percent) & (F.col("leaves") >= F.col("n") * rule.percent))
              .select("node", F.col("other").alias("label"), "oc").distinct())
     asked = written(asked, "asked")
     parts = F.ceil(F.col("oc") / BLOCK).cast("int")
@@ -219,12 +235,12 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second)
     final = components(links)
 
-    member = nodes.select("node", F.col("rep.doc_id").alias("id")).join(final, "node", "left")
-    member = member.select("node", "id", F.coalesce("component", "node").alias("root"))
+    member = nodes.select("node", "set", F.col("rep.doc_id").alias("id")).join(final, "node", "left")
+    member = member.select("set", "id", F.coalesce("component", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_node = member.join(least, "root").select(F.col("node").alias("of"), "component_id")
-    return (rows.join(by_node, F.col("node") == F.col("of"), "left")
-            .select("doc_id", "text_key", F.col("n").alias("n_shingles"),
+    by_set = member.join(least, "root").select("set", "root", "component_id")
+    return (rows.join(by_set, F.col("node") == F.col("set"), "left")
+            .select("doc_id", "text_key", "root", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
@@ -232,8 +248,8 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of `docs` without near duplicates: of each component of `jaccard_components` the document with the
     least doc_id stays (of rows that share it the one with the least text_key), and one row of it. Documents without
     shingles are linked with nothing and all stay. All columns are as they were."""
-    found = jaccard_components(docs, rule)
-    stay = (found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(
+    found = _grouped(docs, rule)
+    stay = (found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("d"))
         .select(F.xxhash64("d.doc_id").alias("i"), F.col("d.text_key").alias("k"), F.col("d.doc_id").alias("id")))
     alone = (found.where("n_shingles = 0").select(F.xxhash64("doc_id").alias("i"), F.col("text_key").alias("k"), F.col("doc_id").alias("id")).distinct()
