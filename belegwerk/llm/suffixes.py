@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import documents, slices, text_bytes, written
 from .words import _mix
 
-GRAM = 32
+GRAM = 16
 #: Text bytes per bucket.
 BUCKET_BYTES = 8 << 20
 #: Sampled suffixes per splitter.
@@ -31,7 +31,9 @@ SAMPLE = 64
 #: Bytes that are indexed at once, and block bytes that are packed at once.
 _PLACE_BITS = 18
 _CHUNK = (1 << _PLACE_BITS) - 1024
-_PACK = 12 << 20
+_PACK = 24 << 20
+_SLAB = 2 << 20
+_LEVEL = 3
 _NO_ID = np.iinfo(np.int64).min
 _F1, _F2, _F3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -41,14 +43,19 @@ def _words_at(data: np.ndarray, count: int, shift: int) -> np.ndarray:
     return np.ndarray((count,), ">u8", buffer=data, offset=shift, strides=(1,)).astype(np.uint64)
 
 
+def _hash(words: list[np.ndarray]) -> np.ndarray:
+    """Of each gram, given as its words."""
+    h = words[0] * _F1
+    for word in words[1:]:
+        h = (h ^ (h >> np.uint64(29))) * _F2 + word * _F3
+    return _mix(h)
+
+
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the strings of `length` bytes in `data` (shorter than a chunk): runs of starts with one anchor, as
     (gram hash, anchor, first start, last start)."""
     count = len(data) - GRAM + 1
-    h = _words_at(data, count, 0) * _F1
-    for k in range(8, GRAM, 8):
-        h = (h ^ (h >> np.uint64(29))) * _F2 + _words_at(data, count, k) * _F3
-    h = _mix(h)
+    h = _hash([_words_at(data, count, k) for k in range(0, GRAM, 8)])
     mask = np.uint64((1 << _PLACE_BITS) - 1)
     least = (h & ~mask) | np.arange(count, dtype=np.uint64)
     width, have = length - GRAM + 1, 1
@@ -75,41 +82,54 @@ class _Rows:
     size: np.ndarray
     blocks: np.ndarray
 
-    NUMBERS: ClassVar = (("gram", np.uint64), ("doc", np.int64), ("key", np.int64), ("place", np.int64), ("before", np.int32), ("size", np.int32))
+    NUMBERS: ClassVar = ("gram", "doc", "key", "place", "before", "size")
 
     def take(self, rows: np.ndarray) -> _Rows:
         offsets = np.concatenate([[0], np.cumsum(self.size, dtype=np.int64)])
-        return _Rows(*(getattr(self, n)[rows] for n, _ in self.NUMBERS), _gather(self.blocks, offsets[rows], self.size[rows]))
+        return _Rows(*(getattr(self, n)[rows] for n in self.NUMBERS), _gather(self.blocks, offsets[rows], self.size[rows]))
 
     @staticmethod
     def joined(parts: list[_Rows]) -> _Rows:
-        names = [n for n, _ in _Rows.NUMBERS] + ["blocks"]
-        return _Rows(*(np.concatenate([getattr(p, n) for p in parts]) for n in names))
+        return _Rows(*(np.concatenate([getattr(p, n) for p in parts]) for n in (*_Rows.NUMBERS, "blocks")))
 
     def packed(self) -> bytes:
-        raw = b"".join([np.int64(len(self.gram)).tobytes(), *(np.ascontiguousarray(getattr(self, n)).tobytes() for n, _ in self.NUMBERS),
-                        self.blocks.tobytes()])
-        return np.int64(len(raw)).tobytes() + pa.Codec("zstd").compress(raw, asbytes=True)
+        """Compressed; the gram hashes are left out, since the blocks hold the grams."""
+        pairs, index = np.unique(np.stack([self.doc, self.key], 1), axis=0, return_inverse=True)
+        columns = [pairs.ravel(), index.ravel().astype(np.int32), self.place.astype(np.int64), self.before.astype(np.uint16),
+                   self.size.astype(np.uint16), self.blocks]
+        raw = b"".join([np.array([len(pairs), len(index)], np.int64).tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)])
+        return np.int64(len(raw)).tobytes() + pa.Codec("zstd", compression_level=_LEVEL).compress(raw, asbytes=True)
 
     @staticmethod
     def unpacked(pack: bytes) -> _Rows:
         size = int(np.frombuffer(pack, np.int64, 1)[0])
         raw = pa.Codec("zstd").decompress(pack[8:], decompressed_size=size, asbytes=True)
-        n, at, columns = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-        for _, kind in _Rows.NUMBERS:
-            columns.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-        return _Rows(*columns, np.frombuffer(raw, np.uint8, offset=at))
+        known, n = np.frombuffer(raw, np.int64, 2).tolist()
+        at, columns = 16, []
+        for kind, count in ((np.int64, 2 * known), (np.int32, n), (np.int64, n), (np.uint16, n), (np.uint16, n)):
+            columns.append(np.frombuffer(raw, kind, count, at))
+            at += count * np.dtype(kind).itemsize
+        pairs, index, place, before, sizes = columns
+        blocks, before, sizes = np.frombuffer(raw, np.uint8, offset=at), before.astype(np.int64), sizes.astype(np.int64)
+        grams = _gather(blocks, np.cumsum(sizes) - sizes + before, np.full(n, GRAM))
+        pairs = pairs.reshape(-1, 2)[index]
+        return _Rows(_hash([np.ascontiguousarray(grams.reshape(n, GRAM)[:, k:k + 8]).view(">u8").ravel().astype(np.uint64) for k in range(0, GRAM, 8)]),
+                     pairs[:, 0], pairs[:, 1], place, before, sizes, blocks)
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The ranges (start, size) of `flat` end to end."""
-    if not len(starts):
-        return np.empty(0, np.uint8)
+    """The ranges (start, size) of `flat` end to end, made some megabytes at a time."""
     ends = np.cumsum(sizes, dtype=np.int64)
-    kind = np.int32 if max(len(flat), int(ends[-1])) < 2 ** 31 else np.int64
-    shift = (starts - ends + sizes).astype(kind)
-    return flat[np.repeat(shift, sizes) + np.arange(ends[-1], dtype=kind)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    cuts = np.searchsorted(ends, np.arange(_SLAB, len(out) + _SLAB, _SLAB))
+    a = 0
+    for b in (min(int(c) + 1, len(ends)) for c in cuts):
+        if b > a:
+            lo, hi = int(ends[a] - sizes[a]), int(ends[b - 1])
+            shift = starts[a:b] - (ends[a:b] - sizes[a:b] - lo)
+            out[lo:hi] = flat[np.repeat(shift, sizes[a:b]) + np.arange(hi - lo)]
+            a = b
+    return out
 
 
 def _indexed(batch: pa.RecordBatch, length: int, blocks: bool = True) -> Iterator[_Rows]:
@@ -329,7 +349,7 @@ def covered_ranges(docs: DataFrame, length: int = 100, bucket_bytes: int = BUCKE
             ids, first = np.unique(bucket, return_index=True)
             packs = []
             for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True):
-                part = _Rows(*(getattr(rows, n)[a:b] for n, _ in _Rows.NUMBERS), rows.blocks[ends[a] - rows.size[a]:ends[b - 1]])
+                part = _Rows(*(getattr(rows, n)[a:b] for n in _Rows.NUMBERS), rows.blocks[ends[a] - rows.size[a]:ends[b - 1]])
                 packs.append(part.packed())
             return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(packs, pa.binary())], ["bucket", "pack"])
 
