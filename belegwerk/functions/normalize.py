@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..codelists import CodeLists
+from ..codelists import CodeLists, is_unit
 from .text import WS, let, strip
 
 # --- Fixed values ---------------------------------------------------------------------------
@@ -81,9 +81,9 @@ def unit(raw: Column, lists: CodeLists) -> Column:
     def rule(text: Column) -> Column:
         bracketed = F.upper(F.regexp_extract(text, rf"\(([A-Za-z0-9]{{2,3}})\)[{WS}]*\z", 1))
         return F.coalesce(
-            _if_in(bracketed, lists.units),
-            _if_in(text, lists.units),
-            _if_in(F.upper(text), lists.units),
+            F.when(is_unit(bracketed, lists), bracketed),
+            F.when(is_unit(text, lists), text),
+            F.when(is_unit(F.upper(text), lists), F.upper(text)),
             _lookup(UNIT_WORDS, _word_key(text)),
         )
 

@@ -1,7 +1,8 @@
 """Every amount of an invoice, computed from its lines with decimals, and compared with what is printed.
 
 line(doc_id, line_index, quantity, net_price, price_base_quantity, vat_category, vat_rate); numbers may be
-decimal strings or decimals.
+decimal strings or decimals. A number that its type cannot hold exactly is not rounded: it has no value, the line has
+no net amount, its VAT group and document have no totals, and `refused_amounts` names it.
 """
 
 from __future__ import annotations
@@ -10,12 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MEASURE = "decimal(18,6)"
+#: quantity * price has 38 digits at most, so the product is exact.
+PRICE = "decimal(19,8)"
 MONEY = "decimal(18,2)"
 
 
-def measure(col: str | Column) -> Column:
+def measure(col: str | Column, kind: str = MEASURE) -> Column:
+    """The number in the type `kind`, null unless it is exactly what is stated."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.try_cast(MEASURE)
+    beyond = F.coalesce(c.cast("string").rlike(r"\.\d{18}0*[1-9]"), F.lit(False))
+    fitted = c.try_cast(kind)
+    return F.when((fitted == c.try_cast("decimal(38,18)")) & ~beyond, fitted)
+
+
+def _stated(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string") != "", F.lit(False))
 
 
 def net_amount(quantity: Column, price: Column, base: Column) -> Column:
@@ -25,16 +35,34 @@ def net_amount(quantity: Column, price: Column, base: Column) -> Column:
     cross-multiplied comparison takes the cent back.
     """
     exact = quantity * price
-    rounded = F.round(F.try_divide(exact, base), 2).cast(MONEY)
+    rounded = F.round(F.try_divide(exact, base), 2).try_cast(MONEY)
     cent = F.lit("0.01").cast(MONEY)
     half = (F.abs(rounded) - F.lit("0.005").cast("decimal(4,3)")).cast("decimal(19,3)")
     too_high = (half > 0) & (half * F.abs(base) > F.abs(exact))
-    return F.when(too_high, rounded - F.sign(rounded).cast("decimal(2,0)") * cent).otherwise(rounded).cast(MONEY)
+    return F.when(too_high, rounded - F.sign(rounded).cast("decimal(2,0)") * cent).otherwise(rounded).try_cast(MONEY)
 
 
 def derive_line_net(lines: DataFrame) -> DataFrame:
-    base = F.coalesce(measure("price_base_quantity"), F.lit(1).cast(MEASURE))
-    return lines.withColumn("net_amount", net_amount(measure("quantity"), measure("net_price"), base))
+    """A base quantity that is not stated is 1; one that cannot be kept exactly leaves the line without an amount."""
+    base = F.when(_stated("price_base_quantity"), measure("price_base_quantity")).otherwise(F.lit(1).cast(MEASURE))
+    return lines.withColumn("net_amount", net_amount(measure("quantity"), measure("net_price", PRICE), base))
+
+
+def refused_amounts(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_index, field, value, reason): every stated number of a line that has no exact value, and lines
+    whose numbers are fine but whose net amount is not. A line is either here or has a net amount, or states no number."""
+    fields = (("quantity", MEASURE), ("net_price", PRICE), ("price_base_quantity", MEASURE))
+    bad = {f: _stated(f) & measure(f, kind).isNull() for f, kind in fields}
+    number = {f: F.col(f).cast("string").try_cast("double").isNotNull() for f, _ in fields}
+    said = lambda f: F.when(number[f], "more digits than can be kept").otherwise("not a number")
+    row = lambda f, value, reason: F.struct(F.lit(f).alias("field"), value.alias("value"), reason.alias("reason"))
+    each = [F.when(bad[f], row(f, F.col(f).cast("string"), said(f))) for f, _ in fields]
+    whole = _stated("quantity") & _stated("net_price") & ~bad["quantity"] & ~bad["net_price"] & ~bad["price_base_quantity"]
+    net = F.when(whole & F.col("net_amount").isNull(), row(
+        "net_amount", F.lit(None).cast("string"),
+        F.when(measure("price_base_quantity") == 0, "the base quantity is zero").otherwise("more digits than can be kept")))
+    return derive_line_net(lines).select("doc_id", "line_index", F.explode(F.array_compact(F.array(*each, net))).alias("r")).select(
+        "doc_id", "line_index", "r.*")
 
 
 def vat_breakdown(nets: DataFrame) -> DataFrame:
@@ -44,14 +72,19 @@ def vat_breakdown(nets: DataFrame) -> DataFrame:
     """
     rate = measure("vat_rate")
     grouped = nets.groupBy("doc_id", "vat_category", rate.alias("__rate")).agg(
-        F.sum("net_amount").cast(MONEY).alias("taxable_amount"), F.min("line_index").alias("first_line"))
+        _all_known("net_amount").alias("taxable_amount"), F.min("line_index").alias("first_line"))
     known = F.coalesce("__rate", F.lit(0).cast(MEASURE))
-    tax = F.round(F.col("taxable_amount") * known / F.lit(100).cast("decimal(3,0)"), 2).cast(MONEY)
+    tax = F.round(F.col("taxable_amount") * known / F.lit(100).cast("decimal(3,0)"), 2).try_cast(MONEY)
     return grouped.select(
         "doc_id", "vat_category", plain_decimal(known).alias("rate"), F.col("__rate").isNull().alias("no_rate"),
         "taxable_amount", tax.alias("tax_amount"), "first_line")
 
 
+def _all_known(column: str) -> Column:
+    """The sum, null when any part of it is."""
+    return F.when(F.count_if(F.col(column).isNull()) == 0, F.sum(column).try_cast(MONEY))
+
+
 def plain_decimal(col: Column) -> Column:
     """Decimal text by value: no trailing zeros, no exponent."""
     text = col.cast("string")
@@ -61,8 +94,8 @@ def plain_decimal(col: Column) -> Column:
 def invoice_totals(breakdown: DataFrame) -> DataFrame:
     """Totals from the breakdown alone: its taxable amounts add up to the line total exactly."""
     sums = breakdown.groupBy("doc_id").agg(
-        F.sum("taxable_amount").cast(MONEY).alias("line_total"), F.sum("tax_amount").cast(MONEY).alias("tax_total"))
-    grand = (F.col("line_total") + F.col("tax_total")).cast(MONEY)
+        _all_known("taxable_amount").alias("line_total"), _all_known("tax_amount").alias("tax_total"))
+    grand = (F.col("line_total") + F.col("tax_total")).try_cast(MONEY)
     return sums.select(
         "doc_id", "line_total", F.col("line_total").alias("tax_basis_total"), "tax_total",
         grand.alias("grand_total"), grand.alias("due_payable"))
@@ -84,12 +117,16 @@ def check_totals(printed: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def check_lines(printed: DataFrame, nets: DataFrame) -> DataFrame:
-    """printed(doc_id, line_index, amount) against computed nets -> mismatch rows, which block the output."""
+    """printed(doc_id, line_index, amount) against computed nets -> mismatch rows, which block the output.
+
+    A line without a net amount never equals what is printed, so it blocks as well.
+    """
     p = printed.select("doc_id", "line_index", F.col("amount").cast("string").alias("printed"))
+    differs = F.col("printed").try_cast("decimal(38,10)") != F.col("net_amount")
     return (
-        nets.select("doc_id", "line_index", F.col("net_amount").cast("string").alias("computed"))
-        .join(p, ["doc_id", "line_index"])
-        .where(F.col("printed").try_cast("decimal(38,10)") != F.col("computed").cast(MONEY))
+        nets.select("doc_id", "line_index", "net_amount").join(p, ["doc_id", "line_index"])
+        .where(differs | (F.col("net_amount").isNull() & F.col("printed").isNotNull()))
+        .select("doc_id", "line_index", F.coalesce(F.col("net_amount").cast("string"), F.lit("not computable")).alias("computed"), "printed")
     )
 
 

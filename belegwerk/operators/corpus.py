@@ -238,13 +238,13 @@ def mutate_corpus(invoices: DataFrame, lines: DataFrame, totals: DataFrame, base
         printed_amounts(totals.join(chosen, "doc_id")))
 
 
-def check_mutations(cases: DataFrame, findings: DataFrame, verdicts: DataFrame) -> DataFrame:
+def check_mutations(cases: DataFrame, findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """cases(case_id, detected_by, accepted_anyway) -> hit, valid, ok. Rule 'none' has to stay valid."""
     hits = findings.select("case_id", "rule_id").distinct()
     joined = (
         cases.join(hits.withColumn("found", F.lit(True)), (hits.case_id == cases.case_id) & (hits.rule_id == cases.detected_by), "left")
         .select(cases["*"], F.col("found").isNotNull().alias("hit"))
-        .join(verdicts.select("case_id", "valid"), "case_id", "left")
+        .join(decisions.select("case_id", "valid"), "case_id", "left")
     )
     valid = F.coalesce("valid", F.lit(False))
     ok = F.when(F.col("detected_by") == "none", valid).otherwise(F.col("hit") & (valid == F.col("accepted_anyway")))

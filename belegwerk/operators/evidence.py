@@ -178,16 +178,16 @@ def shared_address_losers(claims: DataFrame, pages: DataFrame, texts_c: DataFram
     measured = hits.where(" or ".join(anchors)).join(at, ids).groupBy(*ids).agg(*distances)
 
     far = F.lit(2**40)
-    verdicts = []
+    decisions = []
     for k in ADDRESS_KEYS:
         d = {p: F.coalesce(F.col(f"d_{p}_{k}"), far) for p in PARTIES}
         open_, owner = F.col(f"head_{k}").isNotNull(), F.col(f"owner_{k}")
         for p, other in (("seller", "buyer"), ("buyer", "seller")):
             loses = open_ & (((owner == "both") & (d[p] >= d[other])) | ((owner == p) & (d[other] < d[p])))
-            verdicts.append(F.when(loses, F.struct(F.lit(p).alias("party"), F.lit(k).alias("key"))))
+            decisions.append(F.when(loses, F.struct(F.lit(p).alias("party"), F.lit(k).alias("key"))))
     return (
         open_claims.join(measured, ids, "left")
-        .select(*ids, F.explode(F.array_compact(F.array(*verdicts))).alias("lost"))
+        .select(*ids, F.explode(F.array_compact(F.array(*decisions))).alias("lost"))
         .select(*ids, "lost.party", "lost.key")
     )
 

@@ -18,11 +18,12 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: list[Column]) -> tuple[Da
 
 
 def _with_offset(df: DataFrame, keys: list[str], names: list[str], amount: Column) -> DataFrame:
-    """Adds __before: the sum of amount over all earlier buckets of the same key."""
+    """Adds __before: the sum of amount over all earlier buckets of the same key. A null key or bucket is a value."""
     before = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
     sums = df.groupBy(*keys, *names).agg(amount.alias("__n"))
-    offsets = sums.select(*keys, *names, F.sum("__n").over(before).alias("__before"))
-    return df.join(offsets, [*keys, *names])
+    offsets = sums.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, *names])], F.sum("__n").over(before).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*keys, *names])]
+    return df.join(offsets, same).drop(*[f"__k{i}" for i in range(len(same))])
 
 
 def index_rows(df: DataFrame, keys: list[str], order: list[Column], buckets: list[Column], out: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import amounts, ordering, tables
@@ -87,7 +87,8 @@ class Tables:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        """Stored, like the invoice table of a real pipeline: most jobs below read it more than once."""
+        """Stored, like the invoice table of a real pipeline: many jobs below read it several times, and planning its
+        joins and columns anew in each place costs more than the write."""
         return materialise(tables.nest_invoice(self.flat_invoices), "invoices")
 
     @cached_property
@@ -115,12 +116,20 @@ class Tables:
         """Lines whose position is the sort key itself: enough where only 'first' matters, and free of a window."""
         return self._line_facts.withColumn("line_index", F.struct(*self.ORDER)).drop(*self.ORDER)
 
+    @cached_property
+    def placed_facts(self) -> DataFrame:
+        """An order has a handful of lines, so a window per order places them."""
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy(*self.ORDER)) - 1
+        return self._line_facts.withColumn("line_index", number.cast("int"))
+
     @cached_property
     def lines(self) -> DataFrame:
-        placed = ordering.index_rows(
-            self._line_facts, ["doc_id"], [F.col(c) for c in self.ORDER],
-            [F.col("l_linenumber"), F.expr("l_partkey div 64")], "line_index")
-        return materialise(placed.drop(*self.ORDER).withColumn("id", _text(F.col("line_index") + 1)), "lines")
+        """Stored for the same reason; amounts alone are computed from `lazy_lines`."""
+        return materialise(self.lazy_lines, "lines")
+
+    @cached_property
+    def lazy_lines(self) -> DataFrame:
+        return self.placed_facts.drop(*self.ORDER).withColumn("id", _text(F.col("line_index") + 1))
 
     @cached_property
     def exemptions(self) -> DataFrame:
@@ -137,7 +146,7 @@ class Tables:
 
     @cached_property
     def placed_nets(self) -> DataFrame:
-        return amounts.derive_line_net(self.lines)
+        return amounts.derive_line_net(self.lazy_lines)
 
     @cached_property
     def breakdown(self) -> DataFrame:

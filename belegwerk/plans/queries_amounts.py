@@ -30,6 +30,20 @@ def line_net_amounts(t: Tables) -> DataFrame:
     return t.placed_nets.select("doc_id", "line_index", "net_amount")
 
 
+_WIDE = "SELECT doc_id, line_index, l_partkey || repeat('0', (2 * l_linenumber)::INT) AS quantity, '0.' || repeat('0', l_linenumber::INT) || l_partkey AS net_price FROM line0"
+
+
+@query("refused_amounts", with_parts(f"""
+SELECT doc_id, line_index, 'quantity' AS field, quantity AS value, 'more digits than can be kept' AS reason FROM ({_WIDE}) WHERE length(ltrim(quantity, '0')) > 12
+UNION ALL SELECT doc_id, line_index, 'net_price', net_price, 'more digits than can be kept' FROM ({_WIDE}) WHERE length(rtrim(net_price, '0')) > 10""", "line0"))
+def refused_amounts(t: Tables) -> DataFrame:
+    """Lines with quantities of many digits and prices with many decimals: those that cannot be kept exactly are named."""
+    n, part = F.col("l_linenumber").cast("int"), F.col("l_partkey").cast("string")
+    wide = t.placed_facts.withColumns({
+        "quantity": F.concat(part, F.repeat(F.lit("0"), 2 * n)), "net_price": F.concat(F.lit("0."), F.repeat(F.lit("0"), n), part)})
+    return amounts.refused_amounts(wide)
+
+
 @query("vat_breakdown", with_parts(f"""
 SELECT doc_id, vat_category, CAST(coalesce(rate, 0) AS VARCHAR) AS rate, rate IS NULL AS no_rate,
   {money('taxable_cents')} AS taxable_amount, {money('tax_cents')} AS tax_amount FROM grp""", "grp"))

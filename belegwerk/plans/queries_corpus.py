@@ -236,7 +236,7 @@ def stream_run_state(t: Tables) -> DataFrame:
     return jobs.latest(jobs.run_to_table(jobs.stream_run_state(events), "run-state", "update"), "run_id")
 
 
-@query("stream_chain_alerts", with_parts("SELECT run_id, CAST(seq AS INTEGER) AS seq, reason FROM run_verdict WHERE seq IS NOT NULL AND reason <> 'empty log'", "run_verdict"))
+@query("stream_chain_alerts", with_parts("SELECT run_id, CAST(seq AS INTEGER) AS seq, reason FROM run_decision WHERE seq IS NOT NULL AND reason <> 'empty log'", "run_decision"))
 def stream_chain_alerts(t: Tables) -> DataFrame:
     jobs.use_rocksdb(t.spark)
     lines = jobs.stream_table(queries_runs.tampered_lines(t)[1], "audit-lines")
@@ -245,17 +245,17 @@ def stream_chain_alerts(t: Tables) -> DataFrame:
 
 @query("stream_rate_limit", queries_runs.LIMIT_SQL)
 def stream_rate_limit(t: Tables) -> DataFrame:
-    """One trigger per replay: requests of all files are decided in order."""
+    """Requests in order of time over several triggers: the hits of the window are carried from one to the next."""
     jobs.use_rocksdb(t.spark)
-    requests = jobs.stream_table(t.requests, "requests", files=1)
+    requests = jobs.stream_in_order(t.requests, "requests", "at_ms", slices=4)
     return jobs.run_to_table(jobs.stream_rate_limit(requests, limit=2, window_ms=43_200_000), "limited")
 
 
 @query("stream_daily_spend", with_parts(f"SELECT day, {usd('sum(units)')} AS spent FROM priced GROUP BY day", "priced"))
 def stream_daily_spend(t: Tables) -> DataFrame:
     calls = t.model_calls.withColumn("ts", F.expr("timestamp_millis(timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts))")).drop("run_id")
-    stream = jobs.stream_table(calls, "calls")
-    return jobs.latest(jobs.run_to_table(jobs.stream_daily_spend(stream, "60 days"), "spend", "update"), "day")
+    stream = jobs.stream_table(calls, "calls", files=6, per_trigger=1)
+    return jobs.latest(jobs.run_to_table(jobs.stream_daily_spend(stream), "spend", "update"), "day")
 
 
 @query("stream_questions", """

@@ -91,15 +91,25 @@ _HEADER_RULES = [
     ("BR-DE-4", "error", "/seller/address/postcode", _GONE("seller_postcode")), ("BR-DE-5", "error", "/seller/contact/name", f"NOT {_NO_CONTACT} AND {_GONE('contact_name')}"),
     ("BR-DE-6", "error", "/seller/contact/phone", f"NOT {_NO_CONTACT} AND {_GONE('contact_phone')}"), ("BR-DE-7", "error", "/seller/contact/email", f"NOT {_NO_CONTACT} AND {_GONE('contact_email')}"),
     ("BR-DE-8", "error", "/buyer/address/city", _GONE("buyer_city")), ("BR-DE-9", "error", "/buyer/address/postcode", _GONE("buyer_postcode")),
-    ("BR-DE-15", "error", "/buyerReference", _GONE("buyer_reference")), ("BR-DE-TMP-32", "warning", "/", "true"), ("BR-DE-18", "error", "/paymentTerms", "doc_id % 5 = 0"),
+    ("BR-DE-15", "error", "/buyerReference", _GONE("buyer_reference")), ("BR-DE-TMP-32", "warning", "/", "true"),
     ("BR-CL-04", "error", "/currency", "currency = '€'"), ("BR-CL-14", "error", "/seller/address/countryCode", "seller_country = 'ZZ'")]
 part("header_finding", " UNION ALL ".join(
     f"SELECT doc_id, '{r}' AS rule_id, '{s}' AS severity, '{l}' AS location FROM inv WHERE {c}" for r, s, l, c in _HEADER_RULES), "inv")
 
 
-@query("header_rules", with_parts("SELECT * FROM header_finding", "header_finding"))
+def _stated(t: Tables) -> DataFrame:
+    d, terms = F.col("doc_id"), F.col("payment_terms")
+    return t.invoices.withColumns({
+        "guideline": F.when(d % 37 == 0, "urn:cen.eu:en16931:2017").otherwise(model.GUIDELINE_ID),
+        "payment_terms_raw": F.when(d % 10 == 0, terms).otherwise(F.concat(terms, F.lit("\n")))})
+
+
+@query("header_rules", with_parts("""SELECT * FROM header_finding
+UNION ALL SELECT doc_id, 'BR-DE-18', 'error', '/paymentTerms' FROM inv WHERE doc_id % 10 = 0
+UNION ALL SELECT doc_id, 'BR-DE-21', 'error', '/' FROM inv WHERE doc_id % 37 = 0""", "header_finding", "inv"))
 def header_rules(t: Tables) -> DataFrame:
-    return rules.header_findings(t.invoices, LISTS)
+    """Headers as XML documents state them: some name another guideline, and the payment terms lack a last newline."""
+    return rules.header_findings(_stated(t), LISTS)
 
 
 part("line_finding", """
@@ -142,9 +152,12 @@ SELECT doc_id, 'BR-E-10' AS rule_id, 'error' AS severity, '/vatExemptions' AS lo
 UNION ALL SELECT doc_id, 'BR-O-10', 'error', '/vatExemptions' FROM (SELECT DISTINCT doc_id FROM grp WHERE vat_category = 'O') WHERE doc_id NOT IN (SELECT doc_id FROM ex WHERE category = 'O')""", "grp", "ex")
 
 
-@query("exemption_rules", with_parts("SELECT * FROM ex_finding", "ex_finding"))
+@query("exemption_rules", with_parts("""SELECT * FROM ex_finding
+UNION ALL SELECT DISTINCT doc_id, 'BR-DE-14', 'error', '/vatExemptions' FROM grp WHERE doc_id % 41 = 0""", "ex_finding", "grp"))
 def exemption_rules(t: Tables) -> DataFrame:
-    return rules.exemption_findings(t.breakdown, t.exemptions)
+    """Groups as a document states them: some come without a rate."""
+    stated = t.breakdown.withColumn("rate", F.when(F.col("doc_id") % 41 != 0, F.col("rate")))
+    return rules.exemption_findings(stated, t.exemptions)
 
 
 part("finding", "SELECT * FROM header_finding UNION ALL SELECT * FROM line_finding UNION ALL SELECT * FROM ex_finding", "header_finding", "line_finding", "ex_finding")
@@ -210,7 +223,7 @@ def questions_from_rules(t: Tables) -> DataFrame:
 def _mismatches(t: Tables) -> DataFrame:
     from ..operators.amounts import check_lines
     from .queries_amounts import printed_lines
-    return check_lines(printed_lines(t).where("doc_id % 3 = 0"), t.placed_nets)
+    return check_lines(printed_lines(t).where("doc_id % 3 = 0"), t.placed_nets)  # every third page shows its line amounts
 
 
 part("issue", f"""
@@ -218,12 +231,12 @@ SELECT doc_id, 'MISSING' AS id, bt || ' is required but ' || reason AS message,
 UNION ALL SELECT doc_id, 'LINE-MISMATCH', 'line ' || (line_index + 1) || ': quantity × price / base quantity = ' || {money('net_cents')} || ', but the printed line amount is '
   || {money('net_cents + 1')} || '. Check quantity, unit price and base quantity of this line.', '/lines/' || line_index
 FROM line WHERE doc_id % 6 = 3 AND doc_id NOT IN (SELECT doc_id FROM missing)
-UNION ALL SELECT doc_id, rule_id, rule_id, location FROM finding WHERE severity = 'error' AND doc_id NOT IN (SELECT doc_id FROM missing) AND NOT (doc_id % 6 = 3 AND doc_id IN (SELECT doc_id FROM line))""", "missing", "finding", "line")
+UNION ALL SELECT doc_id, rule_id, rule_id, location FROM finding WHERE severity = 'error' AND rule_id <> 'BR-CL-23' AND doc_id NOT IN (SELECT doc_id FROM missing) AND NOT (doc_id % 6 = 3 AND doc_id IN (SELECT doc_id FROM line))""", "missing", "finding", "line")
 
 
 def _issues(t: Tables) -> DataFrame:
     found = all_findings(t).select("doc_id", F.abs(F.xxhash64("rule_id", "location")).alias("seq"), "rule_id", "severity", F.col("rule_id").alias("message"), "location")
-    return repair.build_issues(stored_missing(t), _mismatches(t), materialise(found, "found"))
+    return repair.build_issues(stored_missing(t), _mismatches(t), found)
 
 
 @query("issues", with_parts("SELECT doc_id, id, message, location FROM issue", "issue"))
@@ -242,7 +255,7 @@ LEFT JOIN (SELECT doc_id, count(*) AS n_q FROM (SELECT doc_id, path FROM missing
 
 @query("outcomes", with_parts("SELECT * FROM state", "state"))
 def outcomes(t: Tables) -> DataFrame:
-    found = materialise(_issues(t), "issues")
+    found = _issues(t)
     errors = found.select("doc_id").distinct().withColumn("bad", F.lit(True))
-    verdict = t.invoices.select("doc_id").join(errors, "doc_id", "left").select("doc_id", F.col("bad").isNull().alias("valid"), F.lit("stored").alias("report_hash"))
-    return repair.classify_outcome(t.invoices, verdict, found, stored_missing(t))[0].select("doc_id", "state", "n_questions")
+    decision = t.invoices.select("doc_id").join(errors, "doc_id", "left").select("doc_id", F.col("bad").isNull().alias("valid"), F.lit("stored").alias("report_hash"))
+    return repair.classify_outcome(t.invoices, decision, found, stored_missing(t))[0].select("doc_id", "state", "n_questions")

@@ -110,11 +110,11 @@ def assembled_line_amounts(t: Tables) -> DataFrame:
 # --- patch guard ----------------------------------------------------------------------------------------
 
 _PATCHES: list[tuple[str, str, str, str, str | None, str | None]] = [
-    ("add", "/seller/contact/phone", "+49 30 4411-0", "Tel. +49 30 4411-0", "+49 30 4411-0", None),
+    ("add", "/seller/contact/phone", "+49 621 9050-3", "Tel. +49 621 9050-3", "+49 621 9050-3", None),
     ("add", "/lines/0/unitCode", "Stück", "Einheit Stück Preis 12,50", "H87", None),
     ("replace", "/lines/0/netPrice", "12,50", "Einheit Stück Preis 12,50", "12.50", None),
     ("replace", "/lines/0/netAmount", "12,50", "Einheit Stück Preis 12,50", None, "derived or fixed field"),
-    ("add", "/seller/favouriteColour", "x", "x", None, "unknown field"),
+    ("add", "/seller/preferredCarrier", "x", "x", None, "unknown field"),
     ("add", "/orderReference", "PO", " ", None, "no provenance (missing quote)"),
     ("add", "/orderReference", "PO", "Erfunden PO", None, "evidence: quote-not-on-page"),
     ("add", "/buyerReference", "{bn}", "{bn}", None, "a party name is not a buyer reference"),
@@ -139,7 +139,7 @@ def _patch_sql() -> str:
 def guarded_patches(t: Tables) -> DataFrame:
     """Every document gets one proposed correction; each guard has its case."""
     facts, pages = address_pages(t)
-    more = "\npost@kunde.example\n\n\n\n\n\nTel. +49 30 4411-0\nEinheit Stück Preis 12,50\nMail s@firma.example\nseit gestern\nMusterdorf"
+    more = "\npost@kunde.example\n\n\n\n\n\nTel. +49 621 9050-3\nEinheit Stück Preis 12,50\nMail s@firma.example\nseit gestern\nMusterdorf"
     pages = materialise(pages.withColumn("text", F.concat("text", F.lit(more))), "guard-pages")
     held = facts.where("path not in ('seller.address.city', 'buyer.address.city')").withColumn("kind", F.lit("evidence"))
     also = held.where("path = 'seller.name'").withColumns({"path": F.lit("orderReference"), "value": F.lit("s@firma.example"), "quote": F.lit("Mail s@firma.example")})
@@ -178,7 +178,7 @@ AND contact_name IS NOT NULL AND contact_phone IS NOT NULL AND contact_email IS
 
 
 def repair_input(t: Tables) -> dict:
-    """Whole models, some without a buyer reference, some with a line that contradicts the page; recorded plans and verdicts."""
+    """Whole models, some without a buyer reference, some with a line that contradicts the page; recorded plans and decisions."""
     d = F.col("doc_id")
     docs = t.invoices.where(
         "number is not null and issue_date is not null and currency = 'EUR' and seller.name <> '' and seller.electronic_address.value is not null "
@@ -198,13 +198,13 @@ def repair_input(t: Tables) -> dict:
     pages = ids.select("doc_id", F.lit(1).alias("page"), F.lit("Rechnung\nLeitweg 04011000-9").alias("text"))
     every_round = ids.withColumn("round", F.explode(F.array(*[F.lit(i) for i in range(4)])))
     broken = d % 11 == 0
-    verdicts = every_round.select("doc_id", "round", (~broken).alias("valid"), F.lit("h").alias("report_hash"))
+    decisions = every_round.select("doc_id", "round", (~broken).alias("valid"), F.lit("h").alias("report_hash"))
     found = every_round.where(broken).select(
         "doc_id", "round", F.lit(0).alias("seq"), F.lit("BR-E-10").alias("rule_id"), F.lit("error").alias("severity"), F.lit("no reason").alias("message"), F.lit("/x").alias("location"))
     return {
         "docs": ids, "facts": materialise(facts, "repair-facts"), "line_ids": only(t.lines).select("doc_id", "line_index"),
         "rejected": ids.limit(0).select("doc_id", none.alias("path"), none.alias("value"), none.alias("reason")), "printed_lines": materialise(amounts_printed, "repair-lines"),
-        "plans": plans, "pages": pages, "formats": ids.select("doc_id", F.lit("de").alias("number_format")), "validate": repair.stored_verdicts(verdicts, found)}
+        "plans": plans, "pages": pages, "formats": ids.select("doc_id", F.lit("de").alias("number_format")), "validate": repair.stored_decisions(decisions, found)}
 
 
 _STATE = """

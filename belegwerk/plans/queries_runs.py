@@ -21,7 +21,7 @@ def audit_chain(t: Tables) -> DataFrame:
 @query("audit_chain_streamed", with_parts("SELECT run_id, seq, prev_hash, hash FROM chain", "chain"))
 def audit_chain_streamed(t: Tables) -> DataFrame:
     """The same chain on the path for runs that are too long to fold."""
-    return audit.build_audit_chain(t.audit_events, fold_limit=0).select("run_id", "seq", "prev_hash", "hash")
+    return audit.build_audit_chain(t.audit_events).select("run_id", "seq", "prev_hash", "hash")
 
 
 def tampered_lines(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +41,7 @@ def tampered_lines(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 part("run_len", "SELECT run_id, count(*) AS n, CAST(run_id AS BIGINT) % 7 AS k FROM audit GROUP BY run_id", "audit")
-part("run_verdict", """
+part("run_decision", """
 SELECT run_id, CASE k WHEN 5 THEN 0 WHEN 4 THEN CASE WHEN n > 1 THEN n - 1 ELSE n END ELSE n END AS events,
   CASE WHEN k = 1 AND n > 2 THEN 2 WHEN k = 2 AND n > 3 THEN 3 WHEN k = 3 AND n > 1 THEN 1 WHEN k = 4 AND n > 2 THEN 1 WHEN k = 5 THEN 0 END AS seq,
   CASE WHEN k = 1 AND n > 2 THEN 'event content does not match its hash' WHEN k = 2 AND n > 3 THEN 'line is not valid JSON'
@@ -49,8 +49,8 @@ SELECT run_id, CASE k WHEN 5 THEN 0 WHEN 4 THEN CASE WHEN n > 1 THEN n - 1 ELSE
 FROM run_len""", "run_len")
 
 
-@query("audit_verdicts", with_parts("SELECT run_id, reason IS NULL AS ok, events, seq, reason FROM run_verdict", "run_verdict"))
-def audit_verdicts(t: Tables) -> DataFrame:
+@query("audit_decisions", with_parts("SELECT run_id, reason IS NULL AS ok, events, seq, reason FROM run_decision", "run_decision"))
+def audit_decisions(t: Tables) -> DataFrame:
     runs, texts = tampered_lines(t)
     parsed = audit.parse_audit_lines(texts)
     return audit.verify_audit_chain(parsed, runs)

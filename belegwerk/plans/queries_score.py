@@ -141,24 +141,24 @@ def xml_round_trip(t: Tables) -> DataFrame:
 # --- validator reports -----------------------------------------------------------------------------
 
 _REPORT = ("'<rep:report xmlns:rep=\"http://example/report\"><rep:scenarioMatched><rep:validationStepResult id=\"s\"><rep:message code=\"BR-DE-15\" level=\"' || lvl || '\" xpathLocation=\"/x[' || doc_id || ']\"> text '"
-           " || doc_id || ' </rep:message><rep:message code=\"BR-02\" level=\"warning\" xpathLocation=\"/y\">second</rep:message></rep:validationStepResult></rep:scenarioMatched><rep:assessment><rep:' || verdict || '><a/></rep:' || verdict || '></rep:assessment></rep:report>'")
-part("report", f"SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE {_REPORT} END AS report, lvl, verdict FROM (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'error' ELSE 'warning' END AS lvl, CASE WHEN o_orderkey % 3 = 0 THEN 'accept' ELSE 'reject' END AS verdict FROM orders)")
+           " || doc_id || ' </rep:message><rep:message code=\"BR-02\" level=\"warning\" xpathLocation=\"/y\">second</rep:message></rep:validationStepResult></rep:scenarioMatched><rep:assessment><rep:' || decision || '><a/></rep:' || decision || '></rep:assessment></rep:report>'")
+part("report", f"SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE {_REPORT} END AS report, lvl, decision FROM (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'error' ELSE 'warning' END AS lvl, CASE WHEN o_orderkey % 3 = 0 THEN 'accept' ELSE 'reject' END AS decision FROM orders)")
 
 
 def _reports(t: Tables) -> DataFrame:
     d = F.col("o_orderkey")
-    verdict = F.when(d % 3 == 0, "accept").otherwise("reject")
+    decision = F.when(d % 3 == 0, "accept").otherwise("reject")
     lit = F.lit
     text = F.concat(
         lit('<rep:report xmlns:rep="http://example/report"><rep:scenarioMatched><rep:validationStepResult id="s"><rep:message code="BR-DE-15" level="'), F.when(d % 2 == 0, "error").otherwise("warning"),
         lit('" xpathLocation="/x['), d.cast("string"), lit(']"> text '), d.cast("string"),
         lit(' </rep:message><rep:message code="BR-02" level="warning" xpathLocation="/y">second</rep:message></rep:validationStepResult></rep:scenarioMatched><rep:assessment><rep:'),
-        verdict, lit("><a/></rep:"), verdict, lit("></rep:assessment></rep:report>"))
+        decision, lit("><a/></rep:"), decision, lit("></rep:assessment></rep:report>"))
     return t.table("orders").select(d.alias("doc_id"), F.when(d % 10 != 0, text).alias("report"), F.when(d % 10 == 0, F.array(lit("boom"))).alias("processing_errors"))
 
 
-@query("validator_verdicts", with_parts("SELECT doc_id, report IS NOT NULL AND verdict = 'accept' AS valid, sha256(report) AS report_hash FROM report", "report"))
-def validator_verdicts(t: Tables) -> DataFrame:
+@query("validator_decisions", with_parts("SELECT doc_id, report IS NOT NULL AND decision = 'accept' AS valid, sha256(report) AS report_hash FROM report", "report"))
+def validator_decisions(t: Tables) -> DataFrame:
     return validator_reports.parse_validator_reports(_reports(t))[0]
 
 
@@ -179,7 +179,7 @@ def flattened_facts(t: Tables) -> DataFrame:
 
 
 def compared(t: Tables) -> DataFrame:
-    return scoring.compare_facts(flattened_facts(t), scoring.flatten_facts(t.got_invoices, t.got_lines, t.exemptions))
+    return scoring.compare_tables((t.invoices, t.lines, t.exemptions), (t.got_invoices, t.got_lines, t.exemptions))
 
 
 @query("compared_facts", with_parts("SELECT doc_id, key, term, status, want, got FROM compared", "compared"))

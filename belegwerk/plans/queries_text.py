@@ -80,16 +80,16 @@ def city_follows_postcode(t: Tables) -> DataFrame:
 # One small page per order: both blocks in a row, with the buyer's lines repeated for some.
 part("addr", """
 SELECT o_orderkey AS doc_id, s_name AS sn, 'Hafenweg ' || (s_suppkey % 50) AS ss, c_name AS bn, 'Am Markt ' || (o_custkey % 90) AS bs,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'Tannenberg' ELSE 'Birkenfeld' END AS city,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'Birkenau' ELSE 'Birkenfeld' END AS city,
   CASE WHEN o_orderkey % 4 = 0 THEN '12345' ELSE '54321' END AS postcode
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = o_custkey // 15""")
 part("addr_line", """
-SELECT doc_id, no, lower(txt) AS txt FROM (SELECT doc_id, unnest(range(8)) AS no, unnest([sn, ss, CASE WHEN doc_id % 5 = 0 THEN '12345 Tannenberg' ELSE 'Rechnung' END,
-  'Datum 04.04.2016', bn, bs, '12345 Tannenberg', '54321 Birkenfeld']) AS txt FROM addr)""", "addr")
+SELECT doc_id, no, lower(txt) AS txt FROM (SELECT doc_id, unnest(range(8)) AS no, unnest([sn, ss, CASE WHEN doc_id % 5 = 0 THEN '12345 Birkenau' ELSE 'Rechnung' END,
+  'Datum 04.04.2016', bn, bs, '12345 Birkenau', '54321 Birkenfeld']) AS txt FROM addr)""", "addr")
 part("addr_claim", """
 SELECT doc_id, 'street' AS key, CASE WHEN doc_id % 6 = 0 THEN bs ELSE ss END AS sv, bs AS bv, CASE WHEN doc_id % 6 = 0 THEN bs ELSE ss END AS sq, bs AS bq FROM addr
-UNION ALL SELECT doc_id, 'city', city, CASE WHEN doc_id % 7 <> 0 THEN 'Tannenberg' END, postcode || ' ' || city, CASE WHEN doc_id % 7 <> 0 THEN '12345 Tannenberg' END FROM addr
-UNION ALL SELECT doc_id, 'postcode', postcode, '12345', postcode || ' ' || city, '12345 Tannenberg' FROM addr""", "addr")
+UNION ALL SELECT doc_id, 'city', city, CASE WHEN doc_id % 7 <> 0 THEN 'Birkenau' END, postcode || ' ' || city, CASE WHEN doc_id % 7 <> 0 THEN '12345 Birkenau' END FROM addr
+UNION ALL SELECT doc_id, 'postcode', postcode, '12345', postcode || ' ' || city, '12345 Birkenau' FROM addr""", "addr")
 part("addr_judged", """
 SELECT c.*, lower(sv) AS svc, lower(bv) AS bvc, lower(sq) AS sqc, lower(bq) AS bqc, string_agg(l.txt, ' ' ORDER BY l.no) AS text_c
 FROM addr_claim c JOIN addr_line l USING (doc_id) GROUP BY ALL""", "addr_claim", "addr_line")
@@ -115,21 +115,21 @@ def address_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
         .select(
             o.alias("doc_id"), "sn", "bn", F.concat(F.lit("Hafenweg "), (F.col("s_suppkey") % 50).cast("string")).alias("ss"),
             F.concat(F.lit("Am Markt "), (F.col("o_custkey") % 90).cast("string")).alias("bs"),
-            F.when(o % 4 == 0, "Tannenberg").otherwise("Birkenfeld").alias("city"), F.when(o % 4 == 0, "12345").otherwise("54321").alias("postcode"))
+            F.when(o % 4 == 0, "Birkenau").otherwise("Birkenfeld").alias("city"), F.when(o % 4 == 0, "12345").otherwise("54321").alias("postcode"))
     )
     d = F.col("doc_id")
     pages = addr.select("doc_id", F.lit(1).alias("page"), F.concat_ws(
-        "\n", "sn", "ss", F.when(d % 5 == 0, "12345 Tannenberg").otherwise("Rechnung"), F.lit("Datum 04.04.2016"), "bn", "bs",
-        F.lit("12345 Tannenberg"), F.lit("54321 Birkenfeld")).alias("text"))
+        "\n", "sn", "ss", F.when(d % 5 == 0, "12345 Birkenau").otherwise("Rechnung"), F.lit("Datum 04.04.2016"), "bn", "bs",
+        F.lit("12345 Birkenau"), F.lit("54321 Birkenfeld")).alias("text"))
     street = F.when(d % 6 == 0, F.col("bs")).otherwise(F.col("ss"))
     place = F.concat("postcode", F.lit(" "), "city")
     fact = lambda path, value, quote: F.struct(F.lit(path).alias("path"), value.alias("value"), quote.alias("quote"))
-    b_place = F.lit("12345 Tannenberg")
+    b_place = F.lit("12345 Birkenau")
     rows = F.array(
         fact("seller.name", F.col("sn"), F.col("sn")), fact("buyer.name", F.col("bn"), F.col("bn")),
         fact("seller.address.line1", street, street), fact("buyer.address.line1", F.col("bs"), F.col("bs")),
         fact("seller.address.city", F.col("city"), place), fact("seller.address.postcode", F.col("postcode"), place),
-        F.when(d % 7 != 0, fact("buyer.address.city", F.lit("Tannenberg"), b_place)), fact("buyer.address.postcode", F.lit("12345"), b_place))
+        F.when(d % 7 != 0, fact("buyer.address.city", F.lit("Birkenau"), b_place)), fact("buyer.address.postcode", F.lit("12345"), b_place))
     facts = addr.select("doc_id", F.explode(F.array_compact(rows)).alias("f")).select("doc_id", "f.*", F.lit(1).alias("page"))
     return facts, pages
 
@@ -360,11 +360,11 @@ def user_inputs(t: Tables) -> DataFrame:
 # --- shapes ----------------------------------------------------------------------------------------
 
 SHAPE_CASES: list[tuple[str, str, str | None]] = [
-    ("seller.address.city", "12345", "city without letters"), ("buyer.address.city", "DE", "a country is not a city"), ("seller.address.city", "Eichstedt", None),
-    ("seller.address.line1", "12345 Eichstedt", "street line looks like 'postcode city'"), ("seller.address.line2", "DE", "country printed as an address line"),
+    ("seller.address.city", "12345", "city without letters"), ("buyer.address.city", "DE", "a country is not a city"), ("seller.address.city", "Moorbach", None),
+    ("seller.address.line1", "12345 Moorbach", "street line looks like 'postcode city'"), ("seller.address.line2", "DE", "country printed as an address line"),
     ("seller.address.line2", "Gebäude B", None), ("seller.contact.phone", "Tel.", "phone number with fewer than 5 digits"), ("seller.contact.email", "Jana Wiesner", "not an e-mail address"),
-    ("seller.id", "ATU123456789", "a VAT ID is not a seller identifier"), ("seller.id", "4000001123452", None), ("seller.vatId", "DE 123456789", None), ("seller.vatId", "DE", "not a VAT identifier"),
-    ("seller.vatId", "Lindenhof Seminare e. V.", "not a VAT identifier"), ("buyer.address.postcode", "12345678901", "postcode without digits"), ("buyerReference", "a@b.example", "an e-mail address is not a buyer reference"),
+    ("seller.id", "ATU246813579", "a VAT ID is not a seller identifier"), ("seller.id", "4711002233446", None), ("seller.vatId", "DE 123456789", None), ("seller.vatId", "DE", "not a VAT identifier"),
+    ("seller.vatId", "Ulmenhof Seminare e. V.", "not a VAT identifier"), ("buyer.address.postcode", "12345678901", "postcode without digits"), ("buyerReference", "a@b.example", "an e-mail address is not a buyer reference"),
     ("buyer.name", "4711", "name without letters"), ("lines.0.name", "4711", None)]
 KIND_OF = {"seller.contact.phone": "phone", "seller.contact.email": "email", "seller.id": "id", "seller.vatId": "vatId", "buyerReference": "buyerReference", "buyer.name": "party-name", "lines.0.name": "party-name"}
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(app: str = "belegwerk", cores: str | int = "*") -> SparkSession:
-    """A session for tests and the bench. On a cluster the caller brings its own."""
+    """A session for tests and the bench. On a cluster the caller brings its own, with the package on the executors."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.environ.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        # Python workers start in the caller's folder, which need not be this one.
+        os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (root, path) if p)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -28,11 +35,16 @@ def local_session(app: str = "belegwerk", cores: str | int = "*") -> SparkSessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. A local folder is made only where none is configured."""
+    """The folder all executors see: `spark.checkpoint.dir`. Without it a local master gets a temporary folder, which
+    goes when the driver ends; any other master is refused, since its executors would each write to their own disk."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share; the master is {master}")
     made = tempfile.mkdtemp(prefix="belegwerk-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set(CHECKPOINT_KEY, made)
     return made
 

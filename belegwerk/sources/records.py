@@ -46,8 +46,8 @@ def write_audit_log(events: DataFrame, path: str) -> None:
     )
 
 
-def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(manifest entries, ground truth per entry id)."""
+def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest entries, ground truth per entry id, entries whose ground truth cannot be read: id, groundTruth)."""
     manifest = (
         spark.read.schema(MANIFEST_DDL).option("multiLine", True).json(f"{root}/manifest.json")
         .select(F.explode("entries").alias("e")).select("e.*")
@@ -60,7 +60,8 @@ def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     # The path inside the corpus folder is the join key; the prefix depends on the file system.
     inside = F.regexp_extract("file", r"((?:holdout/)?(?:clean|noisy|mutated)/[^/]+\.json)\z", 1)
     truth = files.withColumn("groundTruth", inside).join(manifest.select("id", "groundTruth"), "groundTruth")
-    return manifest, truth.select("id", "invoice", "printed")
+    truth = truth.select("id", "invoice", "printed")
+    return manifest, truth, manifest.select("id", "groundTruth").join(truth.select("id"), "id", "left_anti")
 
 
 def parse_run_events(recordings: DataFrame) -> DataFrame:
@@ -73,12 +74,12 @@ def parse_run_events(recordings: DataFrame) -> DataFrame:
         F.col("r.event").alias("event"))
 
 
-def read_run_events(spark: SparkSession, path: str) -> DataFrame:
-    """One recorded case per JSON file."""
+def read_run_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, names of files without a readable run), one recorded case per JSON file."""
     step = "array<struct<at:bigint,event:string>>"
-    return parse_run_events(
-        spark.read.schema(f"id string, title string, run {step}, followUp {step}").option("multiLine", True).json(path)
-        .withColumnRenamed("id", "case_id").where("run is not null"))
+    cases = spark.read.schema(f"id string, title string, run {step}, followUp {step}").option("multiLine", True).json(path)
+    cases = cases.withColumnRenamed("id", "case_id").withColumn("file", F.col("_metadata.file_name"))
+    return parse_run_events(cases.where("run is not null")), cases.where("run is null").select("file")
 
 
 def report_parts(summary: DataFrame, terms: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Stored reports of the official validator -> verdicts and findings."""
+"""Stored reports of the official validator -> decisions and findings."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ REPORT_DDL = (
 
 
 def parse_validator_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """reports(doc_id, report, processing_errors array<string>) -> (verdict, finding).
+    """reports(doc_id, report, processing_errors array<string>) -> (decision, finding).
 
     valid is the recommendation of the report, not the absence of errors. Without a readable report every
     processing error is a finding of rule PROCESSING, and there is no hash.
@@ -25,9 +25,9 @@ def parse_validator_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = reports.select("*", F.explode(F.array(F.from_xml("report", REPORT_DDL, options))).alias("x"))
     readable = F.col("report").isNotNull() & F.col("x").isNotNull() & F.col("x._corrupt_record").isNull()
     marked = parsed.withColumn("ok", readable)
-    verdict = marked.select(
+    decision = marked.select(
         "doc_id",
-        F.coalesce(F.col("ok") & F.col("report").rlike(r"<([A-Za-z0-9_]+:)?accept[\s/>]"), F.lit(False)).alias("valid"),
+        (F.col("ok") & F.col("x.assessment.accept").isNotNull()).alias("valid"),
         F.when(F.col("ok"), F.sha2("report", 256)).alias("report_hash"))
     steps = F.concat(
         F.coalesce("x.scenarioMatched.validationStepResult", F.array()), F.coalesce("x.noScenarioMatched.validationStepResult", F.array()))
@@ -39,7 +39,7 @@ def parse_validator_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     failed = marked.where("not ok").select(
         "doc_id", F.posexplode(F.coalesce("processing_errors", F.array(F.lit("report is not readable")))).alias("seq", "message")).select(
         "doc_id", "seq", F.lit("PROCESSING").alias("rule_id"), F.lit("error").alias("severity"), "message", F.lit("").alias("location"))
-    return verdict, listed.unionByName(failed)
+    return decision, listed.unionByName(failed)
 
 
 def read_validator_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -15,8 +15,9 @@ from belegwerk.session import local_session  # noqa: E402
 HEADLINE = (
     "invoice_amounts", "line_net_amounts", "vat_breakdown", "total_warnings", "line_positions", "canonical_text",
     "evidence_rejected", "number_format", "shared_address_losers", "evidence_claims_rejected", "normalize_decimal",
-    "normalize_facts_accepted", "missing_facts", "rule_findings", "audit_chain", "audit_verdicts", "daily_spend",
+    "normalize_facts_accepted", "missing_facts", "rule_findings", "audit_chain", "audit_decisions", "daily_spend",
     "budget_admission", "rate_limit", "compared_facts", "term_accuracy", "evaluation_summary",
+    "issues", "invoice_xml",
 )
 
 

@@ -49,7 +49,7 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.001"
     chosen = sys.argv[2:] or catalog.names()
     folder = f"/root/testdata/{sf}"
-    spark, con = local_session(), connect(folder)
+    spark, con = local_session(cores=os.environ.get("CORES", "*")), connect(folder)
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
     for name in chosen:

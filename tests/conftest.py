@@ -11,6 +11,6 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 def spark():
     from belegwerk.session import local_session
 
-    session = local_session("tests", 8)
+    session = local_session("tests", os.environ.get("CORES", "8"))
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -8,8 +8,6 @@ from compare import connect, difference
 from belegwerk.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-# The whole-extraction queries share one pipeline; one of them stands for the others here.
-SLOW = {"assembled_rejections", "assembled_missing", "assembled_line_amounts", "resumed_outcomes"}
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +15,6 @@ def sql():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.names() if n in catalog.sql() and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in catalog.names() if n in catalog.sql()])
 def test_same_rows_as_sql(spark, sql, name):
     assert difference(catalog.run(name, spark, FOLDER), sql, catalog.sql()[name]) is None
