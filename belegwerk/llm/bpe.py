@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Texts over this many characters are encoded in pieces of about this size.
 PIECE = 50_000
@@ -60,6 +60,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, piece: int
     Null and empty texts have no ids; repeated rows are encoded each; null doc_ids stay. Special tokens in a text are
     ordinary text. Other columns are left out, so their names cannot clash. The work is a map over rows: nothing is
     shuffled, and one task holds one small batch of texts."""
+    small_batches(docs.sparkSession)
     given = docs.select(F.struct("doc_id", *carry).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

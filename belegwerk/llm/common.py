@@ -26,6 +26,7 @@ def documents(docs: DataFrame) -> DataFrame:
 
     (doc_id, text_key) is the identity of a document. Rows that repeat both are copies of one document and all get
     its result; rows that share only the id are different documents."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 
@@ -40,7 +41,19 @@ def sha256_of_list(column: Column) -> Column:
     return F.sha2(F.array_join(column, ","), 256)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+#: Rows per batch between Spark and Python where texts go across.
+TEXT_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: batches of Spark's default size would take tens of megabytes, several times over, in every
+    task. Lowers the session's setting where it is higher."""
+    if int(spark.conf.get(_BATCH_KEY)) > TEXT_ROWS or int(spark.conf.get(_BATCH_KEY)) <= 0:
+        spark.conf.set(_BATCH_KEY, TEXT_ROWS)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that what is made from one stays small."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -26,7 +26,7 @@ SKETCH_BITS = 20
 _SKETCH_ROWS = 16
 #: Documents per side of one block product.
 BLOCK = 512
-_HASHES = 4_000_000
+_HASHES = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import slices, small_batches, text_bytes, written
 from .words import ALPHANUMERIC, SPACED, _mix, word_values
 
 #: Bounds of the fitting: labelled and unlabelled rows of the sample, and words of the lexicon. Scoring has none.
@@ -184,6 +184,7 @@ def _lexicon(sample: DataFrame, size: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Model:
     """Fit both views on a bounded sample (see `Training`). Labels of documents that are not there are ignored."""
+    small_batches(docs.sparkSession)
     chosen = _labels(labels, training.labelled)
     views = docs.select("doc_id", *_view_columns(docs.columns))
     # Bounded by the parameters: at most `labelled` and `pool` ids are broadcast.
@@ -254,6 +255,7 @@ def _co_train(shapes: np.ndarray, words: np.ndarray, meta: np.ndarray, good: np.
 
 def _scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """row (all columns of `docs`), text_score, meta_score, score, keep."""
+    small_batches(docs.sparkSession)
     made = ["text_score", "meta_score", "score", "keep"]
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_view_columns(docs.columns))
     shared = docs.sparkSession.sparkContext.broadcast(model)
