@@ -85,8 +85,8 @@ def _linked(parts: DataFrame, reach: int, roles: Roles) -> DataFrame:
         mine = F.col("kind").isin(*kinds)
         last = F.max(F.when(mine, F.struct("end", "start"))).over(prior)
         following = F.min(F.when(mine, F.struct("start", "end"))).over(later)
-        left, right = F.greatest(start - last["end"], F.lit(0)), F.greatest(following["start"] - end, F.lit(0))
-        left, right = F.when(left <= reach, left), F.when(right <= reach, right)
+        left = F.when(start - last["end"] <= reach, F.greatest(start - last["end"], F.lit(0)))
+        right = F.when(following["start"] - end <= reach, F.greatest(following["start"] - end, F.lit(0)))
         at = (F.when(left.isNotNull() & (right.isNull() | (left <= right)), F.struct(last["start"].alias("start"), last["end"].alias("end")))
               .when(right.isNotNull(), F.struct(following["start"].alias("start"), following["end"].alias("end"))))
         return left.isNotNull() | right.isNotNull(), at
