@@ -175,14 +175,15 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
 
 def _runs(hits: str):
     """Sorted runs that overlap or touch, as one."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    kind = "array<struct<start:bigint,end:bigint>>"
+    empty = F.array().cast(kind)
 
     def step(done, run):
         last = F.element_at(done, -1)
         grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], run["end"]).alias("end"))
-        return (F.when(F.size(done) == 0, F.array(run))
-                .when(run["start"] <= last["end"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown)))
-                .otherwise(F.concat(done, F.array(run))))
+        return (F.when(F.size(done) == 0, F.array(run).cast(kind))
+                .when(run["start"] <= last["end"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown).cast(kind)).cast(kind))
+                .otherwise(F.concat(done, F.array(run).cast(kind)).cast(kind)))
 
     return F.aggregate(F.col(hits), empty, step)
 
