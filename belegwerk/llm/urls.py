@@ -59,7 +59,7 @@ def _count(text: Column, letter: str) -> Column:
 
 def _entropy(text: Column) -> Column:
     """Bits per character."""
-    size = F.length(text).cast("double")
+    size = F.greatest(F.length(text), F.lit(1)).cast("double")
     parts = F.transform(F.array_distinct(F.split(text, "")), lambda c: (size - F.length(F.replace(text, c))) / size)
     parts = F.filter(parts, lambda p: p > 0)
     return F.coalesce(-F.aggregate(parts, F.lit(0.0), lambda a, p: a + p * F.log2(p)), F.lit(0.0))
