@@ -92,9 +92,11 @@ def _linked(parts: DataFrame, reach: int, roles: Roles) -> DataFrame:
         return left.isNotNull() | right.isNotNull(), at
 
     strong = F.col("kind").between(0, STRONG - 1)
-    covered = (F.coalesce(F.max(F.when(strong, end)).over(prior) > start, F.lit(False))
-               | F.coalesce(F.min(F.when(strong, start)).over(later) < end, F.lit(False)))
-    # A weak candidate inside a strong span is the same secret; it is neither reported nor a partner.
+    # In this order a strong span around a part comes before it, or after it with the same start.
+    covered = (F.coalesce(F.max(F.when(strong, end)).over(prior) >= end, F.lit(False))
+               | F.coalesce(F.min(F.when(strong, start)).over(later) == start, F.lit(False)))
+    # A weak candidate wholly inside a strong span is the same secret; it is neither reported nor a partner. One that
+    # only overlaps or contains a strong span is a part of its own.
     parts = parts.withColumn("covered", covered).where("kind < 0 or kind < 3 or not covered").drop("covered")
     (has_id, at_id), (has_secret, _), (_, at_end) = (near(r) for r in (roles.identifier, roles.secret, roles.endpoint))
     rule = (F.when(strong, True).when(F.col("kind").isin(*roles.secret), has_id)

@@ -40,6 +40,20 @@ def test_weak_parts_need_their_complement_in_scope(spark):
     assert kinds(spark, "password=abc123") == set() and kinds(spark, "see https://h.example/x") == set()
 
 
+def test_weak_parts_around_a_strong_span_stay(spark):
+    assert kinds(spark, "client_id=0123456789abcdef0123 password=abc123") == {"hex", "login", "short"}
+    assert kinds(spark, "https://h.example/0123456789abcdef0123/x user=bob password=abc123") == {"hex", "login", "short", "endpoint"}
+    assert kinds(spark, "https://h.example/x?token=abcdefghijklmnop user=bob") == {"assign", "login", "endpoint"}
+    # Wholly inside: the opaque value is the assigned one.
+    assert kinds(spark, "user=bob token=Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8Qr9") == {"assign", "login"}
+    assert kinds(spark, "client_id=0123456789abcdef0123") == {"hex"}
+
+
+def test_redaction_masks_a_short_password_of_a_hex_client(spark):
+    text = "a client_id=0123456789abcdef0123 password=abc123 b"
+    assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().text == "a [secret] [secret] b"
+
+
 def test_credentials_name_the_nearest_parts(spark):
     text = "user=far ... user=bob password=abc123xyz https://h.example/x"
     row = secrets.credentials(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
