@@ -17,6 +17,9 @@ HEX = r"[0-9a-f]{16,}"
 #: Weak kinds: an unnamed token, a login name, an address of a service.
 OPAQUE = r"[A-Za-z0-9/+]{20,}"
 LOGIN = r"""([uU]sername|[uU]ser|[lL]ogin|[aA]ccount|[cC]lient_?[iI]d)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)"""
+#: LOGIN with its names in either case, as env files write them; the SQL twin states LOGIN itself.
+NAMED = (r"""([uU][sS][eE][rR][nN][aA][mM][eE]|[uU][sS][eE][rR]|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]"""
+         r"""|[cC][lL][iI][eE][nN][tT]_?[iI][dD])["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""")
 ENDPOINT = r"""(https?|ftp|ssh|amqps?|jdbc:[a-z]+|postgres(ql)?|mysql|mongodb|redis|s3)://[^\x00-\x20"'<>]+"""
 
 KINDS = ("assign", "access", "hex", "short", "opaque", "login", "endpoint")
@@ -53,11 +56,11 @@ def _parts(docs: DataFrame) -> DataFrame:
     value = lambda h: F.length(F.regexp_extract(h, ASSIGN, 2))
     fixed = lambda k: (lambda h: F.lit(k))
     always = lambda h: F.lit(True)
-    mixed = lambda h: (F.length(h) <= 64) & h.rlike("[A-Z]") & h.rlike("[a-z]") & h.rlike("[0-9]")
+    mixed = lambda h: h.rlike("[A-Z]") & h.rlike("[a-z]") & h.rlike("[0-9]")
     arrays = [
         _hits(text, ASSIGN, 0, lambda h: F.when(value(h) >= 12, 0).otherwise(3), lambda h: value(h) >= 6),
         _hits(text, ACCESS, 1, fixed(1), always), _hits(text, HEX, 2, fixed(2), always),
-        _hits(text, OPAQUE, 3, fixed(4), mixed), _hits(text, LOGIN, 4, fixed(5), always),
+        _hits(text, OPAQUE, 3, fixed(4), mixed), _hits(text, NAMED, 4, fixed(5), always),
         _hits(text, ENDPOINT, 5, fixed(6), always)]
     marker = F.array(F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("len"),
                               F.lit(True).alias("ok")))

@@ -49,6 +49,16 @@ def test_weak_parts_around_a_strong_span_stay(spark):
     assert kinds(spark, "client_id=0123456789abcdef0123") == {"hex"}
 
 
+def test_opaque_tokens_of_any_length_and_login_names_in_either_case(spark):
+    long = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8Qr9St0Uv1Wx2" * 3
+    for name in ("user", "USERNAME", "DB_USER", "LOGIN", "ACCOUNT", "CLIENT_ID", "clientId"):
+        assert kinds(spark, f"{name}=bob password=abc123") == {"login", "short"}, name
+    assert kinds(spark, long[:86]) == set()
+    for n in (64, 65, 86, 108):
+        assert kinds(spark, f"user=bob {long[:n]}") == {"login", "opaque"}, n
+    assert kinds(spark, f"user=bob {long * 100}") == {"login", "opaque"}
+
+
 def test_redaction_masks_a_short_password_of_a_hex_client(spark):
     text = "a client_id=0123456789abcdef0123 password=abc123 b"
     assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().text == "a [secret] [secret] b"
