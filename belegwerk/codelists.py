@@ -19,15 +19,10 @@ SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP
 UYW UZS VED VES VND VUV WST XAF XAG XAU XBA XBB XBC XBD XCD XDR XOF XPD XPF XPT XSU XTS XUA XXX YER ZAR ZMW ZWG
 """.split())
 
-#: Packaging codes (recommendation 21) enter the unit list with an X before their two characters.
-PACKAGE = r"^X[0-9A-Z]{2}\z"
-
 
 @dataclass(frozen=True)
 class CodeLists:
-    units: tuple[str, ...] = model.COMMON_UNITS
-    #: Whether every code of the packaging form counts as a unit; a full list from `load_codes` needs no rule.
-    packages: bool = True
+    units: tuple[str, ...] = field(default_factory=model.unit_codes)
     countries: tuple[str, ...] = field(default_factory=model.iso_countries)
     vat_categories: tuple[str, ...] = model.VAT_CATEGORY_CODES
     currencies: tuple[str, ...] = CURRENCIES
@@ -35,8 +30,7 @@ class CodeLists:
 
 def is_unit(code: Column, lists: CodeLists) -> Column:
     """Whether a text is a unit code; null stays null. A list of thousands of codes is one hash set in the plan."""
-    listed = code.isin(*lists.units)
-    return listed | code.rlike(PACKAGE) if lists.packages else listed
+    return code.isin(*lists.units)
 
 
 def load_codes(spark: SparkSession, path: str, column: str = "code", fmt: str = "csv") -> tuple[str, ...]:

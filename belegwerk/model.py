@@ -211,15 +211,7 @@ def iso_countries() -> tuple[str, ...]:
     return tuple(sorted((codes | {"1A", "AN", "XI"}) - {"SS"}))
 
 
-# Unit codes of the UN/ECE list (recommendation 20) for counts, time, length, area, volume, mass, energy,
-# power and data. The full list of some 2 000 codes is a parameter, and packaging codes have a rule: see CodeLists.
-COMMON_UNITS: tuple[str, ...] = (
-    "4K", "4L", "4N", "A97", "ACR", "AD", "AMH", "AMP", "ANN", "APZ", "BAR", "BLL", "BQL", "BX", "C62", "CDL", "CEL", "CLT",
-    "CMK", "CMQ", "CMT", "DAA", "DAY", "DLT", "DMK", "DMQ", "DMT", "DPC", "DPR", "DZN", "E34", "E35", "E48", "E49", "EA",
-    "FAH", "FOT", "FTK", "FTQ", "GLI", "GLL", "GM", "GRM", "GRO", "GWH", "H87", "HAR", "HLT", "HMT", "HTZ", "HUR", "INH",
-    "INK", "INQ", "JOU", "KEL", "KGM", "KHZ", "KMH", "KMK", "KMQ", "KMT", "KPA", "KTN", "KVA", "KVT", "KWH", "KWT", "LBR",
-    "LH", "LM", "LS", "LTR", "LUM", "LUX", "MAW", "MBR", "MGM", "MHZ", "MIL", "MIN", "MLT", "MMK", "MMQ", "MMT", "MON",
-    "MQH", "MTK", "MTQ", "MTR", "MTS", "MWH", "NAR", "NEW", "NMI", "NMP", "NPR", "NPT", "OHM", "ONZ", "OZA", "P1", "PAL",
-    "PR", "PTI", "QAN", "QTI", "SEC", "SET", "SMI", "STI", "STK", "STN", "TNE", "VLT", "WEE", "WHR", "WTT", "YDK", "YDQ",
-    "YRD", "ZZ",
-)
+def unit_codes() -> tuple[str, ...]:
+    """Every code of rule BR-CL-23: the UN/ECE recommendations 20 and 21 (packagings, with an X before their code)."""
+    table = resources.files("belegwerk").joinpath("units.csv").read_text(encoding="utf-8")
+    return tuple(table.split()[1:])

@@ -9,7 +9,7 @@ import random
 from pyspark.sql import functions as F
 
 from belegwerk import model
-from belegwerk.codelists import CodeLists, load_codes
+from belegwerk.codelists import CodeLists, is_unit, load_codes
 from belegwerk.functions import jcs, normalize as N, text
 from belegwerk.operators import amounts, audit, claims, costs, evidence, findings, ordering, scoring
 from belegwerk.sources import extractions, records, validator_reports
@@ -235,6 +235,17 @@ def test_code_list_from_a_file(spark, tmp_path):
     assert units == ("4K", "H87") and row.n.value == "4K"
 
 
+def test_units_are_the_whole_official_list(spark):
+    lists = CodeLists()
+    assert len(lists.units) == len(set(lists.units)) == 2162
+    codes = spark.createDataFrame([(c,) for c in lists.units] + [("XXE",), ("BX",), ("NPR",), ("x (xxe)",)], "raw string")
+    refused = {r.raw for r in codes.withColumn("n", N.unit(F.col("raw"), lists)).where("n.value is null").collect()}
+    assert refused == {"XXE", "BX", "NPR", "x (xxe)"}
+    lines = spark.createDataFrame([("d", k, c) for k, c in enumerate(["B22", "XXE", "XPP", "2N"])], "doc_id string, line_index int, unit_code string")
+    bad = lines.where(~is_unit(F.col("unit_code"), lists)).collect()
+    assert [r.unit_code for r in bad] == ["XXE"]
+
+
 def test_log_files_round_trip(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text('{"seq":0}\n\n  \n{"seq":1}\n', encoding="utf-8")
