@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    queries_contamination, queries_jaccard, queries_lsh, queries_quality, queries_secrets, queries_sharding, queries_suffixes, queries_tokens, queries_urls,
+    queries_contamination, queries_jaccard, queries_lsh, queries_quality, queries_secrets, queries_sharding, queries_suffixes, queries_tokens,
+    queries_toxicity, queries_urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         queries_secrets.op1_secret_scan, queries_sharding.op2_hash_tree, queries_tokens.op3_byte_bpe,
         queries_suffixes.op4_suffix_dedup, queries_urls.op5_url_filter,
         queries_tokens.op6_token_counts, queries_jaccard.op7_jaccard_join, queries_lsh.op8_embedding_dedup,
-        queries_contamination.op9_contamination, queries_quality.op10_quality)}
+        queries_contamination.op9_contamination, queries_quality.op10_quality,
+        queries_toxicity.op11_toxicity)}
 SQL: dict[str, str] = {"op1_secret_scan": queries_secrets.SQL, "op7_jaccard_join": queries_jaccard.SQL,
                        "op9_contamination": queries_contamination.SQL}
