@@ -26,7 +26,7 @@ def _sql() -> str:
     scans = [(0, ASSIGN, f"case when length(regexp_extract(h, {_quoted(ASSIGN)}, 2)) >= 12 then 0 else 3 end",
               f"length(regexp_extract(h, {_quoted(ASSIGN)}, 2)) >= 6"),
              (1, ACCESS, "1", "true"), (2, HEX, "2", "true"),
-             (3, OPAQUE, "4", "length(h) <= 64 and regexp_matches(h, '[A-Z]') and regexp_matches(h, '[a-z]') and regexp_matches(h, '[0-9]')"),
+             (3, OPAQUE, "4", "regexp_matches(h, '[A-Z]') and regexp_matches(h, '[a-z]') and regexp_matches(h, '[0-9]')"),
              (4, LOGIN, "5", "true"), (5, ENDPOINT, "6", "true")]
     raw = " union all ".join(
         f"select doc_id, {n} as n, i, h, length(g) as gap, {kind} as kind, {ok} as ok from (select doc_id, "
@@ -45,8 +45,8 @@ raw as ({raw}),
 placed as (select doc_id, kind, ok, length(h) as len, sum(gap + length(h)) over (
     partition by doc_id, n order by i rows between unbounded preceding and current row) as "end" from raw),
 parts as (select doc_id, kind, ("end" - len)::bigint as "start", "end"::bigint as "end" from placed where ok),
-bare as (select * from (select *, coalesce(max("end") filter (kind < 3) over prior > "start", false)
-    or coalesce(min("start") filter (kind < 3) over later < "end", false) as covered from parts {windows})
+bare as (select * from (select *, coalesce(max("end") filter (kind < 3) over prior >= "end", false)
+    or coalesce(min("start") filter (kind < 3) over later = "start", false) as covered from parts {windows})
     where kind < 3 or not covered),
 judged as (select *, {near('(1, 5)')} as has_id, {near('(0, 3, 4)')} as has_secret from bare {windows}),
 spans as (select doc_id, "start", "end", kind as rank,

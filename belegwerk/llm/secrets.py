@@ -16,9 +16,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak kinds: an unnamed token, a login name, an address of a service.
 OPAQUE = r"[A-Za-z0-9/+]{20,}"
-LOGIN = r"""([uU]sername|[uU]ser|[lL]ogin|[aA]ccount|[cC]lient_?[iI]d)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)"""
-#: LOGIN with its names in either case, as env files write them; the SQL twin states LOGIN itself.
-NAMED = (r"""([uU][sS][eE][rR][nN][aA][mM][eE]|[uU][sS][eE][rR]|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]"""
+#: Login names in either case, as env files write them.
+LOGIN = (r"""([uU][sS][eE][rR][nN][aA][mM][eE]|[uU][sS][eE][rR]|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]"""
          r"""|[cC][lL][iI][eE][nN][tT]_?[iI][dD])["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""")
 ENDPOINT = r"""(https?|ftp|ssh|amqps?|jdbc:[a-z]+|postgres(ql)?|mysql|mongodb|redis|s3)://[^\x00-\x20"'<>]+"""
 
@@ -60,14 +59,13 @@ def _parts(docs: DataFrame) -> DataFrame:
     arrays = [
         _hits(text, ASSIGN, 0, lambda h: F.when(value(h) >= 12, 0).otherwise(3), lambda h: value(h) >= 6),
         _hits(text, ACCESS, 1, fixed(1), always), _hits(text, HEX, 2, fixed(2), always),
-        _hits(text, OPAQUE, 3, fixed(4), mixed), _hits(text, NAMED, 4, fixed(5), always),
+        _hits(text, OPAQUE, 3, fixed(4), mixed), _hits(text, LOGIN, 4, fixed(5), always),
         _hits(text, ENDPOINT, 5, fixed(6), always)]
     marker = F.array(F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("len"),
                               F.lit(True).alias("ok")))
     every = F.flatten(F.array(marker.cast(f"array<{_PART}>"), *(F.coalesce(a, F.array().cast(f"array<{_PART}>")) for a in arrays)))
     rows = docs.select("doc_id", "text_key", F.posexplode(every).alias("at", "p")).select("doc_id", "text_key", "at", "p.*")
-    # From here on everything is keyed by document: one exchange of short rows serves all that follows.
-    rows = rows.repartition("doc_id", "text_key")
+    # Keyed by whole rows, so that a document repeated without end is merged where it is read. Then by document, once.
     rows = rows.groupBy("doc_id", "text_key", "n", "at", "kind", "gap", "len", "ok").agg(F.count(F.lit(1)).alias("copies"))
     before = Window.partitionBy("doc_id", "text_key", "n").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.col("len")).over(before)
@@ -78,10 +76,11 @@ def _parts(docs: DataFrame) -> DataFrame:
 def _linked(parts: DataFrame, reach: int, roles: Roles) -> DataFrame:
     """`parts` with `reported`, and for secrets the nearest identifier and endpoint in scope.
 
-    An interval join as one sorted pass per document: for each role the greatest end before and the least start after
-    a part say whether one lies within `reach`. No pairs are made, so dense documents stay linear."""
-    doc = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", "kind")
-    prior, later = doc.rowsBetween(Window.unboundedPreceding, -1), doc.rowsBetween(1, Window.unboundedFollowing)
+    An interval join as one sorted pass per document and direction: for each role the greatest end before and the
+    least start after a part say whether one lies within `reach`. No pairs are made, and both frames only grow (the
+    later rows are the earlier ones of the reversed order), so dense documents stay linear."""
+    doc, up, down = Window.partitionBy("doc_id", "text_key"), ("start", "end", "kind"), [F.desc(c) for c in ("start", "end", "kind")]
+    prior, later = (doc.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (up, down))
     start, end = F.col("start"), F.col("end")
 
     def near(kinds: tuple[int, ...]) -> tuple[Column, Column]:
