@@ -190,6 +190,8 @@ MAX_PAGES = 5
 MIN_PAGE_CHARS = 20
 
 GENESIS_HASH = "sha256:" + "0" * 64
+#: What is said of a line that did not come in time.
+LOST_LINE = "line did not arrive"
 DERIVED_O_CODE = "VATEX-EU-O"
 
 # Identifiers written into every invoice XML.

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +9,6 @@ from .. import model
 from .ordering import sum_before
 
 COST = "decimal(18,8)"
-HOUR_MS = 3_600_000
 
 
 def price_calls(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,43 +56,3 @@ def budget_admission(calls: DataFrame, budget: str) -> DataFrame:
     summed = sum_before(dated, ["day"], [F.col("ts"), F.col("call_id")], [minute], "cost", "spent_before")
     return summed.withColumn("spent_before", F.col("spent_before").cast(COST)).withColumn(
         "admitted", F.col("spent_before") < F.lit(budget).cast(COST))
-
-
-def limiter(limit: int, window_ms: int):
-    """Decisions for one key at a time over rows sorted by (key, at_ms). State: the admitted hits in the window."""
-
-    def decide(hits: deque, now: int) -> tuple[bool, int]:
-        while hits and hits[0] <= now - window_ms:
-            hits.popleft()
-        if len(hits) >= limit:
-            return False, -((hits[0] + window_ms - now) // -1000)
-        hits.append(now)
-        return True, 0
-
-    return decide
-
-
-def rate_limit(requests: DataFrame, limit: int = 12, window_ms: int = HOUR_MS) -> DataFrame:
-    """requests(key, request_id, at_ms) + admitted, retry_after_s.
-
-    Refused requests are not recorded, so each decision depends on the ones before it. Rows are streamed in
-    order; per key only the admitted hits of one window are held.
-    """
-    decide = limiter(limit, window_ms)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, hits = None, deque()
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.key != key:
-                    key, hits = row.key, deque()
-                out.append(decide(hits, row.at_ms))
-            yield pd.DataFrame({
-                "key": batch["key"], "request_id": batch["request_id"], "at_ms": batch["at_ms"],
-                "admitted": [o[0] for o in out], "retry_after_s": [o[1] for o in out]})
-
-    return (
-        requests.select("key", "request_id", "at_ms").repartition("key").sortWithinPartitions("key", "at_ms", "request_id")
-        .mapInPandas(walk, "key string, request_id long, at_ms long, admitted boolean, retry_after_s long")
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..codelists import CodeLists
-from ..operators import amounts, corpus, evidence, patches, rules
+from ..operators import amounts, audit, corpus, evidence, patches, rules
 from ..sources import extractions
 from ..streaming import jobs
 from . import queries_model, queries_runs, queries_score, repair
@@ -236,19 +236,60 @@ def stream_run_state(t: Tables) -> DataFrame:
     return jobs.latest(jobs.run_to_table(jobs.stream_run_state(events), "run-state", "update"), "run_id")
 
 
+#: Replays: lines come in as their events happen; a hole is reported after this time.
+PATIENCE_MS, DISORDER = 3_600_001, "2 minutes"
+
+
+def _arriving(t: Tables, lines: DataFrame) -> DataFrame:
+    """Lines with the time at which they came in: that of the event in their place."""
+    at = F.col("ts").cast("timestamp").alias("at")
+    return lines.join(t.audit_events.select("run_id", F.col("seq").alias("line_no"), at), ["run_id", "line_no"])
+
+
 @query("stream_chain_alerts", with_parts("SELECT run_id, CAST(seq AS INTEGER) AS seq, reason FROM run_decision WHERE seq IS NOT NULL AND reason <> 'empty log'", "run_decision"))
 def stream_chain_alerts(t: Tables) -> DataFrame:
     jobs.use_rocksdb(t.spark)
-    lines = jobs.stream_table(queries_runs.tampered_lines(t)[1], "audit-lines")
-    return jobs.run_to_table(jobs.stream_chain_check(lines), "chain-alerts")
+    lines = _arriving(t, queries_runs.tampered_lines(t)[1])
+    check = lambda stream: jobs.stream_chain_check(stream, PATIENCE_MS, DISORDER)
+    return jobs.replay_to_table(lines, "audit-lines", "at", check, jobs.ALERT_TYPE)
+
+
+LOST_SQL = with_parts("""
+SELECT run_id, CAST(CASE WHEN d.seq < 2 OR NOT gone THEN d.seq ELSE 2 END AS INTEGER) AS seq,
+  CASE WHEN d.seq < 2 OR NOT gone THEN d.reason ELSE 'line did not arrive' END AS reason
+FROM run_decision d JOIN (
+  SELECT run_id, CAST(run_id AS BIGINT) % 5 = 2 AND max(seq) FILTER (CAST(run_id AS BIGINT) % 7 <> 4 OR seq < (SELECT max(n) - 1 FROM run_len l WHERE l.run_id = a.run_id)) > 2 AS gone,
+    min(epoch_ms(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP))) FILTER (seq > 2) AS since FROM audit a GROUP BY run_id) USING (run_id)
+CROSS JOIN (SELECT max(epoch_ms(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP))) - 120000 AS now FROM audit)
+WHERE reason IS DISTINCT FROM 'empty log' AND (CASE WHEN gone AND NOT coalesce(d.seq < 2, false) THEN since + 3600001 <= now ELSE d.reason IS NOT NULL END)""", "run_decision", "audit")
+
+
+def _with_holes(t: Tables) -> DataFrame:
+    """The tampered lines, of which every fifth run has lost line 2 as well."""
+    return _arriving(t, queries_runs.tampered_lines(t)[1]).where(~((F.col("run_id").cast("long") % 5 == 2) & (F.col("line_no") == 2)))
+
+
+@query("lost_line_alerts", LOST_SQL)
+def lost_line_alerts(t: Tables) -> DataFrame:
+    """Breaks and lost lines as they stand when the last event has come in and the disorder has passed."""
+    last = t.audit_events.agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("ms")).first().ms or 0
+    return audit.chain_alerts(_with_holes(t), PATIENCE_MS, last - 120_000)
+
+
+@query("stream_lost_lines", LOST_SQL)
+def stream_lost_lines(t: Tables) -> DataFrame:
+    """The same as lines come in: a timer reports the line that stays missing."""
+    jobs.use_rocksdb(t.spark)
+    check = lambda stream: jobs.stream_chain_check(stream, PATIENCE_MS, DISORDER)
+    return jobs.replay_to_table(_with_holes(t), "holed-lines", "at", check, jobs.ALERT_TYPE)
 
 
 @query("stream_rate_limit", queries_runs.LIMIT_SQL)
 def stream_rate_limit(t: Tables) -> DataFrame:
     """Requests in order of time over several triggers: the hits of the window are carried from one to the next."""
-    jobs.use_rocksdb(t.spark)
-    requests = jobs.stream_in_order(t.requests, "requests", "at_ms", slices=4)
-    return jobs.run_to_table(jobs.stream_rate_limit(requests, limit=2, window_ms=43_200_000), "limited")
+    limiter = jobs.RateLimit(t.spark, limit=2, window_ms=43_200_000)
+    jobs.replay_in_order(t.requests, "requests", "at_ms", lambda stream: stream.writeStream.foreachBatch(limiter))
+    return limiter.decisions()
 
 
 @query("stream_daily_spend", with_parts(f"SELECT day, {usd('sum(units)')} AS spent FROM priced GROUP BY day", "priced"))

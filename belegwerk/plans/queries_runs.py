@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tagged_sha256
-from ..operators import audit, costs
+from ..operators import audit, costs, limits
 from ..sources import records
 from .bindings import Tables
 from .oracle_parts import part, usd, with_parts
@@ -18,12 +18,6 @@ def audit_chain(t: Tables) -> DataFrame:
     return audit.build_audit_chain(t.audit_events).select("run_id", "seq", "prev_hash", "hash")
 
 
-@query("audit_chain_streamed", with_parts("SELECT run_id, seq, prev_hash, hash FROM chain", "chain"))
-def audit_chain_streamed(t: Tables) -> DataFrame:
-    """The same chain on the path for runs that are too long to fold."""
-    return audit.build_audit_chain(t.audit_events).select("run_id", "seq", "prev_hash", "hash")
-
-
 def tampered_lines(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(runs, lines) after events were changed, deleted, unlinked or garbled in some runs."""
     r = F.col("run_id").cast("long")
@@ -181,4 +175,5 @@ LIMIT_SQL = with_parts("SELECT key, request_id, at_ms, admitted, retry_after_s F
 @query("rate_limit", LIMIT_SQL)
 def rate_limit(t: Tables) -> DataFrame:
     """At most two admitted requests per user in any twelve hours."""
-    return costs.rate_limit(t.requests, limit=2, window_ms=43_200_000)
+    decided = limits.rate_limit(t.requests, limit=2, window_ms=43_200_000)
+    return decided.select("key", "request_id", "at_ms", "admitted", "retry_after_s")

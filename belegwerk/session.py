@@ -53,6 +53,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store Spark writes to; one that is not there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a written table, so that a lost executor does not replay every round."""
     spark = df.sparkSession

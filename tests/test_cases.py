@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from belegwerk import model
 from belegwerk.codelists import CodeLists, is_unit, load_codes
 from belegwerk.functions import jcs, normalize as N, text
-from belegwerk.operators import amounts, audit, claims, costs, evidence, findings, ordering, scoring
+from belegwerk.operators import amounts, audit, claims, costs, evidence, findings, limits, ordering, scoring
 from belegwerk.sources import extractions, records, validator_reports
 
 PAGES = [
@@ -182,7 +182,7 @@ def test_budget_rolls_over_at_midnight(spark):
 
 def test_rate_limit_forgets_refused_requests(spark):
     at = [0, 10, 20, 3_600_000, 3_600_001, 3_600_010]
-    got = costs.rate_limit(spark.createDataFrame([("ip", i, t) for i, t in enumerate(at)], "key string, request_id long, at_ms long"), limit=2).orderBy("request_id").collect()
+    got = limits.rate_limit(spark.createDataFrame([("ip", i, t) for i, t in enumerate(at)], "key string, request_id long, at_ms long"), limit=2).orderBy("request_id").collect()
     assert [(r.admitted, r.retry_after_s) for r in got] == [(True, 0), (True, 0), (False, 3600), (True, 0), (False, 1), (True, 0)]
 
 
