@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tagged_sha256
 from ..operators import audit, costs, limits
-from ..sources import records
+from ..session import fresh_dir
+from ..sources import audit_files, records
 from .bindings import Tables
 from .oracle_parts import part, usd, with_parts
 from .registry import query
@@ -77,6 +78,14 @@ def audit_log_lines(t: Tables) -> DataFrame:
     return audit.parse_audit_lines(lines).select("run_id", "line_no", "type")
 
 
+@query("audit_log_files", with_parts("SELECT run_id, seq AS line_no, type FROM audit", "audit"))
+def audit_log_files(t: Tables) -> DataFrame:
+    """The logs as files, one per run, written in order and read again by byte ranges."""
+    folder = fresh_dir(t.spark, "audit-log")
+    audit_files.write_audit_log(audit.build_audit_chain(t.audit_events), folder)
+    return audit.parse_audit_lines(audit_files.read_audit_log(t.spark, folder)[1]).select("run_id", "line_no", "type")
+
+
 @query("last_states", with_parts("SELECT run_id, arg_max(type, seq) AS type, max(seq) AS seq FROM audit GROUP BY run_id", "audit"))
 def last_states(t: Tables) -> DataFrame:
     return audit.last_state(t.audit_events)

@@ -31,21 +31,6 @@ def log_lines(texts: DataFrame) -> DataFrame:
     return texts.select("run_id", F.posexplode(kept).alias("line_no", "line"))
 
 
-def read_audit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, lines) of one JSONL file per run. Runs without a line are kept, they verify as empty."""
-    texts = spark.read.text(path, wholetext=True).select(
-        F.regexp_replace("_metadata.file_name", r"\.jsonl\z", "").alias("run_id"), F.col("value").alias("text"))
-    return texts.select("run_id"), log_lines(texts)
-
-
-def write_audit_log(events: DataFrame, path: str) -> None:
-    """event(run_id, seq, line) -> text lines, one folder per run, in the order of seq."""
-    (
-        events.repartition("run_id").sortWithinPartitions("run_id", "seq")
-        .select("run_id", "line").write.partitionBy("run_id").text(path)
-    )
-
-
 def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(manifest entries, ground truth per entry id, entries whose ground truth cannot be read: id, groundTruth)."""
     manifest = (

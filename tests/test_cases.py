@@ -246,17 +246,6 @@ def test_units_are_the_whole_official_list(spark):
     assert [r.unit_code for r in bad] == ["XXE"]
 
 
-def test_log_files_round_trip(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.jsonl").write_text('{"seq":0}\n\n  \n{"seq":1}\n', encoding="utf-8")
-    (tmp_path / "in" / "b.jsonl").write_text("\n", encoding="utf-8")
-    runs, lines = records.read_audit_log(spark, str(tmp_path / "in"))
-    assert {r.run_id for r in runs.collect()} == {"a", "b"}
-    assert {(r.run_id, r.line_no, r.line) for r in lines.collect()} == {("a", 0, '{"seq":0}'), ("a", 1, '{"seq":1}')}
-    records.write_audit_log(lines.withColumnRenamed("line_no", "seq"), str(tmp_path / "out"))
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out") + "/run_id=a").collect()) == ['{"seq":0}', '{"seq":1}']
-
-
 def test_corpus_files(spark, tmp_path):
     lost = {"id": "clean/b-classic", "set": "clean", "groundTruth": "clean/b-classic.json"}
     entry = {"id": "clean/a-classic", "set": "clean", "holdout": False, "invoiceId": "a", "groundTruth": "clean/a-classic.json", "sha256": "0"}
