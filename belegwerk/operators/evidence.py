@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,37 +42,97 @@ def canonical_document(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", canonical("text").alias("text_c"))
 
 
-def evidence_problem(facts: DataFrame, pages_c: DataFrame) -> DataFrame:
-    """Adds value_c, quote_c and problem (NULL when the quote is on its page and holds the value)."""
-    marked = facts.withColumns({"value_c": canonical("value"), "quote_c": canonical("quote")})
-    joined = marked.join(pages_c, ["doc_id", "page"], "left")
+#: Needles that one automaton holds; a text with more of them is read once per pack.
+PACK = 4096
+
+
+def search(needles: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """needles(keys, needle), texts(keys, text) -> keys, needle, n (how often it is in its text, overlaps counted) and
+    loose (it is there when all spaces are taken out), one row per distinct needle that is not empty and has a text.
+
+    All needles of a text are looked for in one pass over it, with one automaton (Aho and Corasick). The text meets its
+    needles once, not once per needle; however many there are, a pack of them and one text are held at a time."""
+    wanted = needles.select(*keys, "needle").where("needle <> ''").distinct()
+    packs = wanted.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PACK).alias("__packs"))
+    packed = wanted.join(packs, keys).groupBy(*keys, F.pmod(F.xxhash64("needle"), F.col("__packs")).alias("__pack")).agg(
+        F.collect_list("needle").alias("needles"))
+    met = packed.join(texts.select(*keys, "text"), keys).select(*keys, "needles", "text")
+    kinds = ", ".join(f"{k} {met.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        def tried(words: list[str], text: str) -> list[int]:
+            """Occurrences of each word, which may repeat; none of an empty one."""
+            automaton, counts = ahocorasick.Automaton(), dict.fromkeys(words, 0)
+            for word in filter(None, counts):
+                automaton.add_word(word, word)
+            if len(automaton):
+                automaton.make_automaton()
+                for _, word in automaton.iter(text):
+                    counts[word] += 1
+            return [counts[word] for word in words]
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                words, text = one.column("needles").to_pylist()[0], one.column("text").to_pylist()[0] or ""
+                n, loose = tried(words, text), tried([w.replace(" ", "") for w in words], text.replace(" ", ""))
+                own = [one.column(k).take(pa.array([0] * len(words))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(words), pa.array(n, pa.int64()), pa.array([x > 0 for x in loose])],
+                                                 [*keys, "needle", "n", "loose"])
+
+    return met.mapInArrow(run, f"{kinds}, needle string, n bigint, loose boolean")
+
+
+def _judged(marked: DataFrame, on_page: Column, in_text: Column) -> DataFrame:
     problem = (
         F.when(F.coalesce("quote_c", F.lit("")) == "", "empty-quote")
-        .when(F.col("text_c").isNull(), "page-out-of-range")
-        .when(~contains_loosely(F.col("text_c"), F.col("quote_c")), "quote-not-on-page")
+        .when(~on_page, "page-out-of-range")
+        .when(~in_text, "quote-not-on-page")
         .when((F.coalesce("value_c", F.lit("")) != "") & ~contains_loosely(F.col("quote_c"), F.col("value_c")),
               "value-not-in-quote")
     )
-    return joined.withColumn("problem", problem).drop("text_c")
+    return marked.withColumn("problem", problem)
+
+
+def evidence_problem(facts: DataFrame, pages_c: DataFrame) -> DataFrame:
+    """Adds value_c, quote_c and problem (NULL when the quote is on its page and holds the value). For pages with a few
+    short facts: each of them meets the page's text."""
+    marked = facts.withColumns({"value_c": canonical("value"), "quote_c": canonical("quote")})
+    joined = marked.join(pages_c, ["doc_id", "page"], "left")
+    return _judged(joined, F.col("text_c").isNotNull(), contains_loosely(F.col("text_c"), F.col("quote_c"))).drop("text_c")
 
 
-def check_evidence(facts: DataFrame, pages: DataFrame, blank_is_absent: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Split into evidenced facts and rejected(doc_id, path, value, reason). Blank values count as absent."""
+def evidence_problem_searched(facts: DataFrame, pages_c: DataFrame) -> DataFrame:
+    """The same for long pages with many quotes: all quotes of a page in one pass over it (see `search`)."""
+    marked = facts.withColumns({"value_c": canonical("value"), "quote_c": canonical("quote")})
+    keys = ["doc_id", "page"]
+    found = search(marked.select(*keys, F.col("quote_c").alias("needle")), pages_c.select(*keys, F.col("text_c").alias("text")), keys)
+    found = found.select(*keys, F.col("needle").alias("quote_c"), ((F.col("n") > 0) | F.col("loose")).alias("__there"))
+    there = pages_c.where("text_c is not null").select(*keys, F.lit(True).alias("__page"))
+    joined = marked.join(there, keys, "left").join(found, [*keys, "quote_c"], "left")
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return _judged(joined, known("__page"), known("__there")).select(*marked.columns, "problem")
+
+
+def check_evidence(facts: DataFrame, pages: DataFrame, blank_is_absent: bool = True, many_quotes: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Split into evidenced facts and rejected(doc_id, path, value, reason). Blank values count as absent. `many_quotes`
+    chooses the plan for long pages of which very many places are quoted; the result is the same."""
     given = facts.where(~is_blank(F.col("value"))) if blank_is_absent else facts
-    judged = evidence_problem(given, canonical_pages(pages))
+    judged = (evidence_problem_searched if many_quotes else evidence_problem)(given, canonical_pages(pages))
     ok = judged.where("problem is null").drop("problem")
     rejected = judged.where("problem is not null").select("doc_id", "path", "value", F.col("problem").alias("reason"))
     return ok, rejected
 
 
 def find_occurrences(quotes: DataFrame, texts_c: DataFrame) -> DataFrame:
-    """quotes(doc_id, quote) + n: how often the quote is printed in the document, overlaps counted."""
-    return (
-        quotes.withColumn("__q", canonical("quote"))
-        .join(texts_c, "doc_id", "left")
-        .withColumn("n", overlapping_count(F.coalesce("text_c", F.lit("")), F.col("__q")).cast("long"))
-        .drop("__q", "text_c")
-    )
+    """quotes(doc_id, quote) + n: how often the quote is printed in the document, overlaps counted. All quotes of a
+    document are counted in one pass over its text (see `search`)."""
+    marked = quotes.withColumn("__q", canonical("quote"))
+    found = search(marked.select("doc_id", F.col("__q").alias("needle")), texts_c.select("doc_id", F.col("text_c").alias("text")), ["doc_id"])
+    found = found.select("doc_id", F.col("needle").alias("__q"), "n")
+    return marked.join(found, ["doc_id", "__q"], "left").select(*quotes.columns, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def number_format_counts(text: Column) -> tuple[Column, Column]:
@@ -101,6 +164,14 @@ def city_follows_postcode(cities: DataFrame, texts_c: DataFrame) -> DataFrame:
     )
 
 
+def cities_after_postcodes(cities: DataFrame, texts_c: DataFrame) -> DataFrame:
+    """The same for long texts with very many places in question, all in one pass over each text (see `search`)."""
+    marked = cities.withColumn("__w", canonical(F.concat("postcode", F.lit(" "), "city")))
+    found = search(marked.select("doc_id", F.col("__w").alias("needle")), texts_c.select("doc_id", F.col("text_c").alias("text")), ["doc_id"])
+    found = found.select("doc_id", F.col("needle").alias("__w"), (F.col("n") > 0).alias("follows"))
+    return marked.join(found, ["doc_id", "__w"], "left").select(*cities.columns, F.coalesce("follows", F.lit(False)).alias("follows"))
+
+
 # --- whose line is it? ------------------------------------------------------------------------
 
 

@@ -186,16 +186,20 @@ class Tables:
 
     @cached_property
     def quotes(self) -> DataFrame:
-        """Quotes from the documents: some upper-cased, some reversed, some on the wrong page, some empty."""
-        d = F.col("doc_id")
-        piece = F.substring("text", 10, 40)
+        """Quotes from all over the documents, one per thousand characters: some upper-cased, some reversed, some on the
+        wrong page, some empty."""
+        last = F.floor(F.greatest(F.length("text") - 10, F.lit(0)) / 1000).cast("int")
+        docs = self.table("documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+        d = F.col("doc_id") + F.col("i")
+        pieces = docs.select("doc_id", "i", F.substring("text", F.lit(10) + F.lit(1000) * F.col("i"), F.lit(40)).alias("piece"))
+        piece = F.col("piece")
         quote = (
             F.when(d % 5 == 1, F.translate(piece, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(d % 5 == 2, F.reverse(piece)).when(d % 5 == 3, F.replace(piece, F.lit(" "), F.lit("  ")))
             .when(d % 50 == 4, F.lit("  ")).otherwise(piece)
         )
         page = F.when(d % 7 == 0, 3).when(d % 11 == 0, 2).otherwise(1)
         value = F.when(d % 13 == 0, F.lit("fehlt")).when(d % 17 == 0, F.lit(" ")).otherwise(F.substring(quote, 5, 12))
-        return self.table("documents").select("doc_id", F.lit("paymentTerms").alias("path"), value.alias("value"), quote.alias("quote"), page.alias("page"))
+        return pieces.select("doc_id", F.lit("paymentTerms").alias("path"), value.alias("value"), quote.alias("quote"), page.alias("page"))
 
     @cached_property
     def text_items(self) -> DataFrame:

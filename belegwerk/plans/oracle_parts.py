@@ -113,12 +113,13 @@ part("page_c", r"""SELECT doc_id, page, lower(trim(regexp_replace(replace(text,
 part("text_c", """SELECT doc_id, trim(string_agg(text_c, ' ' ORDER BY page)) AS text_c FROM page_c WHERE text_c <> '' GROUP BY doc_id""", "page_c")
 
 part("quote", """
-SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'fehlt' WHEN doc_id % 17 = 0 THEN ' ' ELSE substring(quote, 5, 12) END AS value FROM (
-SELECT doc_id, 'paymentTerms' AS path,
-  CASE WHEN doc_id % 5 = 1 THEN translate(piece, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN doc_id % 5 = 2 THEN reverse(piece) WHEN doc_id % 5 = 3 THEN replace(piece, ' ', '  ')
-    WHEN doc_id % 50 = 4 THEN '  ' ELSE piece END AS quote,
-  CASE WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END AS page
-FROM (SELECT doc_id, substring(text, 10, 40) AS piece FROM documents))""")
+SELECT doc_id, path, quote, page, CASE WHEN k % 13 = 0 THEN 'fehlt' WHEN k % 17 = 0 THEN ' ' ELSE substring(quote, 5, 12) END AS value FROM (
+SELECT doc_id, k, 'paymentTerms' AS path,
+  CASE WHEN k % 5 = 1 THEN translate(piece, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN k % 5 = 2 THEN reverse(piece) WHEN k % 5 = 3 THEN replace(piece, ' ', '  ')
+    WHEN k % 50 = 4 THEN '  ' ELSE piece END AS quote,
+  CASE WHEN k % 7 = 0 THEN 3 WHEN k % 11 = 0 THEN 2 ELSE 1 END AS page
+FROM (SELECT doc_id, doc_id + i AS k, substring(text, 10 + 1000 * i, 40) AS piece
+  FROM (SELECT doc_id, text, unnest(range(1 + greatest(length(text) - 10, 0) // 1000)) AS i FROM documents)))""")
 
 part("quote_c", r"""
 SELECT *, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) AS quote_c, lower(trim(regexp_replace(value, '\s+', ' ', 'g'))) AS value_c FROM quote""", "quote")

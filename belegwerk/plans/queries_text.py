@@ -32,20 +32,26 @@ FROM quote_c q LEFT JOIN page_c p USING (doc_id, page) WHERE trim(value, ' ' ||
 
 @query("evidence_accepted", with_parts("SELECT doc_id, path, value, quote, page FROM evidenced WHERE reason IS NULL", "evidenced"))
 def evidence_accepted(t: Tables) -> DataFrame:
-    return evidence.check_evidence(t.quotes, t.pages)[0].select("doc_id", "path", "value", "quote", "page")
+    return evidence.check_evidence(t.quotes, t.pages, many_quotes=True)[0].select("doc_id", "path", "value", "quote", "page")
 
 
 @query("evidence_rejected", with_parts("SELECT doc_id, path, value, reason FROM evidenced WHERE reason IS NOT NULL", "evidenced"))
 def evidence_rejected(t: Tables) -> DataFrame:
-    return evidence.check_evidence(t.quotes, t.pages)[1]
+    return evidence.check_evidence(t.quotes, t.pages, many_quotes=True)[1]
 
 
 @query("quote_occurrences", with_parts("""
-SELECT d.doc_id, substring(d.text, 11, 3) AS quote, CASE WHEN q = '' THEN 0 ELSE
-  len(list_filter(range(1, length(text_c) - length(q) + 2), lambda i: substr(text_c, i, length(q)) = q)) END AS n
-FROM (SELECT *, lower(trim(replace(substring(text, 11, 3), chr(10), ' '))) AS q FROM documents) d JOIN text_c USING (doc_id)""", "text_c"))
+SELECT d.doc_id, quote, coalesce(n, 0) AS n
+FROM (SELECT *, lower(trim(replace(quote, chr(10), ' '))) AS q FROM (
+  SELECT doc_id, substring(text, 11 + 300 * unnest(range(1 + greatest(length(text) - 11, 0) // 300)), 3) AS quote FROM documents)) d
+LEFT JOIN (SELECT doc_id, substr(text_c, i, size) AS q, count(*) AS n FROM (
+    SELECT doc_id, text_c, size, unnest(range(1, length(text_c) - size + 2)) AS i FROM text_c, (VALUES (1), (2), (3)) s(size)) GROUP BY ALL) g
+  ON g.doc_id = d.doc_id AND g.q = d.q""", "text_c"))
 def quote_occurrences(t: Tables) -> DataFrame:
-    quotes = t.table("documents").select("doc_id", F.substring("text", 11, 3).alias("quote"))
+    """Three characters from every three hundred of the text: how often does the document hold them?"""
+    last = F.floor(F.greatest(F.length("text") - 11, F.lit(0)) / 300).cast("int")
+    places = t.table("documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    quotes = places.select("doc_id", F.substring("text", F.lit(11) + F.lit(300) * F.col("i"), F.lit(3)).alias("quote"))
     return evidence.find_occurrences(quotes, evidence.document_text(t.pages))
 
 
@@ -64,15 +70,17 @@ def currency_on_page(t: Tables) -> DataFrame:
 
 @query("city_follows_postcode", with_parts("""
 SELECT doc_id, city, postcode, contains(text_c, lower(postcode || ' ' || city)) AS follows
-FROM (SELECT doc_id, split_part(text_c, ' ', 2) AS postcode, CASE WHEN doc_id % 2 = 0 THEN split_part(text_c, ' ', 3) ELSE split_part(text_c, ' ', 4) END AS city, text_c FROM text_c)
+FROM (SELECT doc_id, text_c, words[i + 1] AS postcode, coalesce(words[CASE WHEN (doc_id + i) % 2 = 0 THEN i + 2 ELSE i + 3 END], '') AS city
+  FROM (SELECT doc_id, text_c, words, unnest(range(1, len(words), 20)) AS i FROM (SELECT doc_id, text_c, string_split(text_c, ' ') AS words FROM text_c)))
 WHERE city <> '' AND postcode <> ''""", "text_c"))
 def city_follows_postcode(t: Tables) -> DataFrame:
+    """Every twentieth word of a text as a postcode, with the word behind it or the one after that as the city."""
     texts = evidence.document_text(t.pages)
-    words = F.split("text_c", " ")
-    cities = texts.select(
-        "doc_id", F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.get(words, F.lit(2))).otherwise(F.get(words, F.lit(3))), F.lit("")).alias("city"),
-        F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("postcode")).where("city <> '' and postcode <> ''")
-    return evidence.city_follows_postcode(cities, texts)
+    words = texts.select("doc_id", F.split("text_c", " ").alias("w")).where(F.size("w") > 1)
+    places = words.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1, F.lit(20))).alias("i"))
+    city = F.get("w", F.col("i") + F.when((F.col("doc_id") + F.col("i")) % 2 == 0, 1).otherwise(2))
+    cities = places.select("doc_id", F.coalesce(city, F.lit("")).alias("city"), F.coalesce(F.get("w", F.col("i")), F.lit("")).alias("postcode"))
+    return evidence.cities_after_postcodes(cities.where("city <> '' and postcode <> ''"), texts)
 
 
 # --- shared address lines -----------------------------------------------------------------------
