@@ -47,7 +47,11 @@ def strip(col: Column) -> Column:
 def canonical(col: Column | str) -> Column:
     """The one text form in which values, quotes and pages are compared."""
     c = F.col(col) if isinstance(col, str) else col
-    c = nfkc(F.replace(c, F.lit("\\n"), F.lit(" ")))
+    return after_nfkc(nfkc(F.replace(c, F.lit("\\n"), F.lit(" "))))
+
+
+def after_nfkc(c: Column) -> Column:
+    """The part of `canonical` that stays on the native path, so that it can run inside arrays."""
     c = F.translate(c, "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u2018\u2019\u201c\u201d\u201e", "-------''\"\"\"")
     return F.lower(squeeze(c))
 
@@ -67,6 +71,12 @@ def overlapping_count(haystack: Column, needle: Column) -> Column:
     return F.when(needle == "", F.lit(0)).otherwise(F.regexp_count(haystack, quoted))
 
 
+def printed_once(haystack: Column, needle: Column) -> Column:
+    """needle is not empty and starts at exactly one place of haystack."""
+    first = F.position(needle, haystack)
+    return (needle != "") & (first > 0) & (F.position(needle, haystack, first + 1) == 0)
+
+
 def is_blank(col: Column) -> Column:
     return col.isNull() | (strip(col) == "")
 

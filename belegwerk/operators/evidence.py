@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, contains_loosely, is_blank, overlapping_count
+from ..functions.text import after_nfkc, canonical, contains_loosely, is_blank, nfkc, printed_once
 from .ordering import join_in_order
 
 ADDRESS_KEYS = ("street", "addressLine2", "city", "postcode", "electronicAddress")
@@ -175,15 +174,14 @@ def cities_after_postcodes(cities: DataFrame, texts_c: DataFrame) -> DataFrame:
 # --- whose line is it? ------------------------------------------------------------------------
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """doc_id, line_no (across pages), line_c. Offsets come from a table with one small row per page."""
-    split = pages.select("doc_id", "page", F.split("text", "\n", -1).alias("parts"))
-    earlier = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    offsets = split.select("doc_id", "page", F.size("parts").alias("n")).select(
-        "doc_id", "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    lines = split.select("doc_id", "page", F.posexplode("parts").alias("pos", "line"))
-    return lines.join(offsets, ["doc_id", "page"]).select(
-        "doc_id", (F.col("before") + F.col("pos")).alias("line_no"), canonical("line").alias("line_c"))
+def document_lines(pages: DataFrame) -> DataFrame:
+    """doc_id, lines: the canonical lines of all pages in order, as one array.
+
+    One document is one row: the upload gate bounds it (pages and bytes) before this step."""
+    whole = pages.select("doc_id", "page", nfkc(F.replace(F.col("text"), F.lit("\\n"), F.lit(" "))).alias("text"))
+    parts = whole.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
+    lines = F.flatten(F.transform("pages", lambda p: F.split(F.coalesce(p["text"], F.lit("")), "\n", -1)))
+    return parts.select("doc_id", F.transform(lines, after_nfkc).alias("lines"))
 
 
 def claim_evidence_text(value: Column, quote: Column) -> Column:
@@ -200,15 +198,16 @@ def party_claims(facts: DataFrame, ids: list[str]) -> DataFrame:
     return wanted.groupBy(*ids).agg(*[F.max(F.when(F.col("path") == p, F.col("__e"))).alias(c) for p, c in paths.items()])
 
 
-def shared_address_losers(claims: DataFrame, pages: DataFrame, texts_c: DataFrame, ids: list[str]) -> DataFrame:
+def shared_address_losers(claims: DataFrame, pages: DataFrame, ids: list[str]) -> DataFrame:
     """ids + (party, key) for every address fact whose printed line belongs to the other party.
 
     A line printed once goes to the party whose name or street is printed closest; a tie takes it from both.
-    claims come from party_claims.
-    """
-    c = claims.join(texts_c, "doc_id", "left")
-    text = F.coalesce("text_c", F.lit(""))
-    once = lambda col: overlapping_count(text, col) == 1
+    claims come from party_claims. All is decided in one row per claim: the places of each needle are arrays of line
+    numbers, and no line is paired with a claim."""
+    c = claims.join(document_lines(pages), "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+    # The canonical text of the document, from its lines.
+    c = c.withColumn("text_c", F.array_join(F.filter("lines", lambda l: l != ""), " "))
+    once = lambda needle: printed_once(F.col("text_c"), needle)
     cols: dict[str, Column] = {}
     for key in ADDRESS_KEYS:
         s, b = F.col(f"seller_{key}"), F.col(f"buyer_{key}")
@@ -225,44 +224,38 @@ def shared_address_losers(claims: DataFrame, pages: DataFrame, texts_c: DataFram
     for p in PARTIES:
         cols[f"{p}_at_name"] = F.nullif(F.col(f"{p}_name")["value"], F.lit(""))
         cols[f"{p}_at_street"] = F.nullif(F.col(f"{p}_street")["value"], F.lit(""))
-    heads = [f"head_{k}" for k in ADDRESS_KEYS]
-    anchors = [f"{p}_at_{a}" for p in PARTIES for a in ("name", "street")]
-    open_claims = (
-        c.select(*ids, *[v.alias(k) for k, v in cols.items()])
-        .where(F.coalesce(*heads).isNotNull())
-    )
+    open_claims = c.select(*ids, "lines", *[v.alias(k) for k, v in cols.items()]).where(F.coalesce(*[f"head_{k}" for k in ADDRESS_KEYS]).isNotNull())
 
-    inside = lambda needle: F.coalesce(F.contains(F.col("line_c"), F.nullif(F.col(needle), F.lit(""))), F.lit(False))
-    hits = (
-        page_lines(pages).join(open_claims.drop(*[f"owner_{k}" for k in ADDRESS_KEYS]), "doc_id")
-        .select(*ids, "line_no", *[inside(x).alias(x) for x in heads + anchors])
-        .where(" or ".join(heads + anchors))
-    )
-    at = hits.groupBy(*ids).agg(*[F.min(F.when(F.col(f"head_{k}"), F.col("line_no"))).alias(f"at_{k}") for k in ADDRESS_KEYS])
-    distances = []
-    for k in ADDRESS_KEYS:
-        gap = F.abs(F.col("line_no") - F.col(f"at_{k}"))
-        for p in PARTIES:
-            # The street is itself an anchor, so it is placed by the name alone.
-            near = F.col(f"{p}_at_name") if k == "street" else F.col(f"{p}_at_name") | F.col(f"{p}_at_street")
-            distances.append(F.min(F.when(near, gap)).alias(f"d_{p}_{k}"))
-    measured = hits.where(" or ".join(anchors)).join(at, ids).groupBy(*ids).agg(*distances)
+    def places(needle: str) -> Column:
+        marked = F.transform("lines", lambda l, i: F.when(F.contains(l, F.nullif(F.col(needle), F.lit(""))), i))
+        return F.filter(marked, lambda i: i.isNotNull())
 
+    heads = {f"at_{k}": F.get(places(f"head_{k}"), F.lit(0)) for k in ADDRESS_KEYS}
+    anchors = {f"{p}_{a}": places(f"{p}_at_{a}") for p in PARTIES for a in ("name", "street")}
+    placed = open_claims.withColumns(heads | anchors)
     far = F.lit(2**40)
+
+    def distance(party: str, key: str) -> Column:
+        at = F.col(f"at_{key}")
+        gap = lambda anchor: F.array_min(F.transform(F.col(f"{party}_{anchor}"), lambda i: F.abs(i - at)))
+        # The street is itself an anchor, so it is placed by the name alone.
+        nearest = gap("name") if key == "street" else F.least(gap("name"), gap("street"))
+        return F.coalesce(nearest.cast("long"), far)
+
+    measured = placed.withColumns({f"d_{p}_{k}": distance(p, k) for p in PARTIES for k in ADDRESS_KEYS})
     decisions = []
     for k in ADDRESS_KEYS:
-        d = {p: F.coalesce(F.col(f"d_{p}_{k}"), far) for p in PARTIES}
+        d = {p: F.col(f"d_{p}_{k}") for p in PARTIES}
         open_, owner = F.col(f"head_{k}").isNotNull(), F.col(f"owner_{k}")
         for p, other in (("seller", "buyer"), ("buyer", "seller")):
             loses = open_ & (((owner == "both") & (d[p] >= d[other])) | ((owner == p) & (d[other] < d[p])))
             decisions.append(F.when(loses, F.struct(F.lit(p).alias("party"), F.lit(k).alias("key"))))
     return (
-        open_claims.join(measured, ids, "left")
-        .select(*ids, F.explode(F.array_compact(F.array(*decisions))).alias("lost"))
+        measured.select(*ids, F.explode(F.array_compact(F.array(*decisions))).alias("lost"))
         .select(*ids, "lost.party", "lost.key")
     )
 
 
-def resolve_shared_address(facts: DataFrame, pages: DataFrame, texts_c: DataFrame) -> DataFrame:
+def resolve_shared_address(facts: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, party, key of the address facts that count as missing."""
-    return shared_address_losers(party_claims(facts, ["doc_id"]), pages, texts_c, ["doc_id"])
+    return shared_address_losers(party_claims(facts, ["doc_id"]), pages, ["doc_id"])

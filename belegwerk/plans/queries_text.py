@@ -147,7 +147,7 @@ SELECT doc_id, 'seller' AS party, key FROM addr_dist WHERE (bv IS NOT NULL AND c
 UNION ALL SELECT doc_id, 'buyer', key FROM addr_dist WHERE bv IS NOT NULL AND coalesce(db, 1e9) >= coalesce(ds, 1e9)""", "addr_dist"))
 def shared_address_losers(t: Tables) -> DataFrame:
     facts, pages = address_pages(t)
-    return evidence.resolve_shared_address(facts, pages, evidence.document_text(pages))
+    return evidence.resolve_shared_address(facts, pages)
 
 
 # --- claims --------------------------------------------------------------------------------------

@@ -56,7 +56,7 @@ def _party(prefix, **given):
 def _losers(spark, lines, facts):
     pages = spark.createDataFrame([(1, 1, "\n".join(lines))], PAGE_DDL)
     table = spark.createDataFrame([(1, p, v, q, 1) for p, v, q in facts], FACT_DDL)
-    return {(r.party, r.key) for r in evidence.resolve_shared_address(table, pages, evidence.document_text(pages)).collect()}
+    return {(r.party, r.key) for r in evidence.resolve_shared_address(table, pages).collect()}
 
 
 def test_shared_address_lines(spark):
