@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,15 @@ class CodeLists:
     currencies: tuple[str, ...] = CURRENCIES
 
 
+@lru_cache(maxsize=8)
+def _literals(codes: tuple[str, ...], application: str) -> tuple[Column, ...]:
+    """Literals of one list, made once per application: thousands of them take seconds."""
+    return tuple(F.lit(c) for c in codes)
+
+
 def is_unit(code: Column, lists: CodeLists) -> Column:
     """Whether a text is a unit code; null stays null. A list of thousands of codes is one hash set in the plan."""
-    return code.isin(*lists.units)
+    return code.isin(*_literals(lists.units, SparkSession.active().sparkContext.applicationId))
 
 
 def load_codes(spark: SparkSession, path: str, column: str = "code", fmt: str = "csv") -> tuple[str, ...]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..codelists import CodeLists
-from ..operators import findings, model_check, rules
+from ..operators import amounts, findings, model_check, rules
 from ..session import materialise
 from . import repair
 from .bindings import Tables
@@ -164,7 +164,9 @@ part("finding", "SELECT * FROM header_finding UNION ALL SELECT * FROM line_findi
 
 
 def all_findings(t: Tables) -> DataFrame:
-    return rules.check_rules(t.invoices, t.lines, t.nets, t.totals, t.breakdown, t.exemptions, LISTS)
+    nets = amounts.derive_line_net(t.lines)
+    breakdown = materialise(amounts.vat_breakdown(nets), "breakdown")
+    return rules.check_rules(t.invoices, None, nets, amounts.invoice_totals(breakdown), breakdown, t.exemptions, LISTS)
 
 
 @query("rule_findings", with_parts("SELECT * FROM finding", "finding"))
