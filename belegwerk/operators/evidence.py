@@ -226,9 +226,9 @@ def shared_address_losers(claims: DataFrame, pages: DataFrame, ids: list[str]) -
         cols[f"{p}_at_street"] = F.nullif(F.col(f"{p}_street")["value"], F.lit(""))
     open_claims = c.select(*ids, "lines", *[v.alias(k) for k, v in cols.items()]).where(F.coalesce(*[f"head_{k}" for k in ADDRESS_KEYS]).isNotNull())
 
+    # Written as SQL text: forty nested lambdas built one by one would cost the driver seconds.
     def places(needle: str) -> Column:
-        marked = F.transform("lines", lambda l, i: F.when(F.contains(l, F.nullif(F.col(needle), F.lit(""))), i))
-        return F.filter(marked, lambda i: i.isNotNull())
+        return F.expr(f"filter(transform(lines, (l, i) -> if(contains(l, nullif({needle}, '')), i, null)), i -> i is not null)")
 
     heads = {f"at_{k}": F.get(places(f"head_{k}"), F.lit(0)) for k in ADDRESS_KEYS}
     anchors = {f"{p}_{a}": places(f"{p}_at_{a}") for p in PARTIES for a in ("name", "street")}
@@ -236,11 +236,10 @@ def shared_address_losers(claims: DataFrame, pages: DataFrame, ids: list[str]) -
     far = F.lit(2**40)
 
     def distance(party: str, key: str) -> Column:
-        at = F.col(f"at_{key}")
-        gap = lambda anchor: F.array_min(F.transform(F.col(f"{party}_{anchor}"), lambda i: F.abs(i - at)))
+        gap = lambda anchor: f"array_min(transform({party}_{anchor}, i -> abs(i - at_{key})))"
         # The street is itself an anchor, so it is placed by the name alone.
-        nearest = gap("name") if key == "street" else F.least(gap("name"), gap("street"))
-        return F.coalesce(nearest.cast("long"), far)
+        nearest = gap("name") if key == "street" else f"least({gap('name')}, {gap('street')})"
+        return F.coalesce(F.expr(nearest).cast("long"), far)
 
     measured = placed.withColumns({f"d_{p}_{k}": distance(p, k) for p in PARTIES for k in ADDRESS_KEYS})
     decisions = []

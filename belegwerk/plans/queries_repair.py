@@ -226,3 +226,66 @@ def resumed_outcomes(t: Tables) -> DataFrame:
         "doc_id", F.lit("buyerReference").alias("path"), F.lit("04011000-9").alias("value"), F.lit("2026-01-01T00:00:00.000Z").alias("entered_at"))
     docs, facts = given.pop("docs"), given.pop("facts")
     return repair.resume_runs(docs, facts, inputs, lists=LISTS, **given)["outcome"].select("doc_id", "state", "n_questions", "iterations")
+
+
+# --- several rounds -------------------------------------------------------------------------------------
+
+#: What is printed for each field that a reader has lost: pointer, value, line of the page.
+_LOST = (("/buyerReference", "04011000-9", "Leitweg 04011000-9"), ("/seller/contact/phone", "+49 30 5550", "Telefon +49 30 5550"),
+         ("/seller/contact/email", "neu@beleg.example", "E-Mail neu@beleg.example"))
+_OTHER = ("/orderReference", "PO-NEU", "Bestellung PO-NEU")
+#: Per kind of document its plans: (round, which lost field, or None for a correction that heals nothing, whether the quote is printed).
+_PLANS: dict[int, tuple[tuple[int, int | None, bool], ...]] = {
+    1: ((1, 0, True), (1, 1, True), (1, 2, True)), 2: ((1, 0, True), (2, 1, True), (2, 2, True)), 3: ((1, 0, True), (2, 1, True), (3, 2, True)),
+    4: ((1, 0, True), (2, None, True), (3, 1, True)), 5: ((1, 0, True), (2, 1, False), (3, 1, True)), 6: ((1, 0, True), (2, 1, True), (3, 2, False))}
+
+
+def repaired_in_rounds(t: Tables) -> dict[str, DataFrame]:
+    """Models of which a reader has lost three fields, and plans that bring them back at once, one by one, or not at all."""
+    if hasattr(t, "_rounds"):
+        return t._rounds
+    given = repair_input(t)
+    kind = (F.floor(F.col("doc_id") / 7) % 7).cast("int")
+    lost = [pointer[1:].replace("/", ".") for pointer, _, _ in _LOST]
+    given["facts"] = given["facts"].where((kind == 0) | ~F.col("path").isin(*lost))
+    given["printed_lines"] = t.placed_nets.join(given["docs"], "doc_id", "left_semi").select("doc_id", "line_index", F.col("net_amount").alias("amount"))
+    given["pages"] = given["docs"].select("doc_id", F.lit(1).alias("page"), F.lit("\n".join(["Rechnung", *(x[2] for x in _LOST), _OTHER[2]])).alias("text"))
+
+    def patch(seq: int, turn: int, which: int | None, printed: bool):
+        pointer, value, quote = _OTHER if which is None else _LOST[which]
+        return F.struct(F.lit(turn).alias("round"), F.lit(seq).alias("seq"), F.lit("replace" if which is None else "add").alias("op"),
+                        F.lit(pointer).alias("path"), F.lit(value).alias("value"), F.lit(quote if printed else f"nicht gedruckt: {value}").alias("quote"))
+
+    plans = F.coalesce(*[F.when(kind == k, F.array(*[patch(i, *p) for i, p in enumerate(plan)])) for k, plan in _PLANS.items()])
+    given["plans"] = given["docs"].select("doc_id", F.explode(plans).alias("p")).select("doc_id", "p.*", F.lit(1).alias("page"))
+    t._rounds = repair.repair_replay(lists=LISTS, **given)
+    return t._rounds
+
+
+part("rounds", """
+SELECT doc_id, (doc_id // 7) % 7 AS kind, doc_id % 7 = 0 AS mr, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS broken FROM open""", "open")
+
+
+@query("repair_rounds", with_parts("""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS round, CAST(n[i] AS BIGINT) AS n_issues,
+  CASE WHEN i - 1 < CASE WHEN kind IN (4, 5) THEN 2 WHEN kind = 6 THEN 3 WHEN kind IN (1, 2, 3) THEN kind ELSE 0 END THEN kind_fixed[i] END AS accepted,
+  CASE WHEN kind = 5 AND i = 2 THEN 'evidence: quote-not-on-page' WHEN kind = 6 AND i = 3 THEN 'evidence: quote-not-on-page' END AS refused,
+  CASE WHEN kind IN (4, 5, 6) OR (kind = 0 AND mr) THEN 'NEEDS_INPUT' WHEN broken = 1 THEN 'FAILED' ELSE 'OUTPUT' END AS state,
+  CAST(CASE WHEN kind IN (4, 5) THEN 2 WHEN kind = 6 OR (kind = 0 AND mr) THEN 1 ELSE 0 END AS BIGINT) AS n_questions,
+  CAST(CASE kind WHEN 0 THEN CASE WHEN mr THEN 1 ELSE broken END WHEN 1 THEN 1 + broken WHEN 2 THEN 2 + broken WHEN 3 THEN 3 WHEN 6 THEN 3 ELSE 2 END AS INTEGER) AS iterations
+FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM (
+  SELECT *, CASE kind WHEN 0 THEN [CASE WHEN mr THEN 1 ELSE broken END] WHEN 1 THEN [3, broken] WHEN 2 THEN [3, 2, broken] WHEN 3 THEN [3, 2, 1, broken]
+    WHEN 4 THEN [3, 2, 2] WHEN 5 THEN [3, 2] ELSE [3, 2, 1] END AS n,
+    CASE kind WHEN 1 THEN ['/buyerReference,/seller/contact/email,/seller/contact/phone'] WHEN 2 THEN ['/buyerReference', '/seller/contact/email,/seller/contact/phone']
+      WHEN 3 THEN ['/buyerReference', '/seller/contact/phone', '/seller/contact/email'] WHEN 4 THEN ['/buyerReference', '/orderReference']
+      WHEN 5 THEN ['/buyerReference', NULL] WHEN 6 THEN ['/buyerReference', '/seller/contact/phone', NULL] ELSE [NULL] END AS kind_fixed FROM rounds))""", "rounds"))
+def repair_rounds(t: Tables) -> DataFrame:
+    """Documents stop in round 1, 2 and 3, because all is well, because nothing falls, or because nothing was accepted:
+    how many issues each has at the start of each of its rounds, what the guard said, and how it ends."""
+    result = repaired_in_rounds(t)
+    said = result["patches"].groupBy("doc_id", (F.col("round") - 1).alias("round")).agg(
+        F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), F.col("pointer")))), ","), F.lit("")).alias("accepted"),
+        F.max("reason").alias("refused"))
+    outcome = result["outcome"].select("doc_id", "state", "n_questions", "iterations")
+    return result["standing"].join(said, ["doc_id", "round"], "left").join(outcome, "doc_id").select(
+        "doc_id", "round", "n_issues", "accepted", "refused", "state", "n_questions", "iterations")
