@@ -251,18 +251,21 @@ def check_mutations(cases: DataFrame, findings: DataFrame, decisions: DataFrame)
     return joined.select("case_id", "detected_by", "hit", valid.alias("valid"), ok.alias("ok"))
 
 
+def each_case(df: DataFrame) -> DataFrame:
+    """Every row once per defect, with case_no; doc_id becomes 'doc|case number'."""
+    return df.withColumn("case_no", F.explode(F.array(*[F.lit(i) for i in range(len(NEGATIVE_CASES))]))).withColumn(
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("case_no").cast("string")))
+
+
 def negative_cases(invoices: DataFrame, lines: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every good invoice with each single-field defect; doc_id becomes 'doc|case number'."""
-    n = F.explode(F.array(*[F.lit(i) for i in range(len(NEGATIVE_CASES))]))
-    spread = lambda df: df.withColumn("case_no", n).withColumn(
-        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("case_no").cast("string")))
     case = F.col("case_no")
-    bad_invoices = spread(invoices).withColumns({
+    bad_invoices = each_case(invoices).withColumns({
         "currency": F.when(case == 0, F.lit("XYZ")).otherwise(F.col("currency")),
         "buyer_reference": F.when(case != 2, F.col("buyer_reference"))})
-    bad_lines = spread(lines).withColumn(
+    bad_lines = each_case(lines).withColumn(
         "vat_category", F.when((case == 3) & (F.col("vat_category") == "S"), F.lit("Q")).otherwise(F.col("vat_category")))
-    bad_totals = spread(totals).withColumn(
+    bad_totals = each_case(totals).withColumn(
         "grand_total", F.when(case == 1, F.lit("999999.99").cast("decimal(18,2)")).otherwise(F.col("grand_total")))
     return bad_invoices, bad_lines, bad_totals
 

@@ -160,13 +160,11 @@ SELECT doc_id || '|0' AS doc_id, 'BR-CL-04' AS rule_id FROM good UNION ALL SELEC
 UNION ALL SELECT doc_id || '|2', 'BR-DE-15' FROM good UNION ALL SELECT DISTINCT doc_id || '|3', 'BR-CL-18' FROM line WHERE vat_category = 'S' AND doc_id IN (SELECT doc_id FROM good)""", "good", "line"))
 def negative_cases(t: Tables) -> DataFrame:
     """The rule each defect of a good invoice breaks, found with a location."""
-    good = queries_score.good_invoices(t).where("currency <> '€'").unionByName(queries_score.good_invoices(t).where("currency = '€'"))
+    good = queries_score.good_invoices(t)
     only = lambda df: df.join(good.select("doc_id"), "doc_id", "left_semi")
     bad_inv, bad_lines, bad_totals = corpus.negative_cases(good, only(t.lines), only(t.totals))
-    found = (
-        rules.header_findings(bad_inv, LISTS).unionByName(rules.line_findings(bad_inv, bad_lines, LISTS))
-        .unionByName(rules.amount_findings(bad_totals, t.breakdown.limit(0).withColumn("doc_id", F.lit("")), t.nets.limit(0).withColumn("doc_id", F.lit(""))))
-    )
+    each = corpus.each_case
+    found = rules.check_rules(bad_inv, None, amounts.derive_line_net(bad_lines), bad_totals, each(only(t.breakdown)), each(only(t.exemptions)), LISTS)
     expected = F.create_map(*[F.lit(x) for i, (_, r) in enumerate(corpus.NEGATIVE_CASES) for x in (str(i), r)])
     hits = found.where((F.col("rule_id") == expected[F.substring_index("doc_id", "|", -1)]) & (F.col("location") != ""))
     return hits.select("doc_id", "rule_id").distinct()

@@ -223,9 +223,10 @@ def questions_from_rules(t: Tables) -> DataFrame:
 
 
 def _mismatches(t: Tables) -> DataFrame:
-    from ..operators.amounts import check_lines
-    from .queries_amounts import printed_lines
-    return check_lines(printed_lines(t).where("doc_id % 3 = 0"), t.placed_nets)  # every third page shows its line amounts
+    """Every page shows its line amounts; on every sixth they are a cent off."""
+    off = F.when(F.col("doc_id") % 6 == 3, F.lit("0.01")).otherwise("0.00").cast("decimal(18,2)")
+    printed = t.placed_nets.select("doc_id", "line_index", (F.col("net_amount") + off).cast("decimal(18,2)").alias("amount"))
+    return amounts.check_lines(printed, t.placed_nets)
 
 
 part("issue", f"""

@@ -27,7 +27,7 @@ def reading(t: Tables) -> dict[str, DataFrame]:
     if hasattr(t, "_reading"):
         return t._reading
     style = {"number_format": F.lit("de"), "date_format": F.lit("de"), "label_variant": F.lit(0), "shuffled": F.lit(False), "split": F.lit(False)}
-    good = queries_score.good_invoices(t).where("currency <> '€'").join(t.lines.select("doc_id").distinct(), "doc_id", "left_semi").withColumns(style)
+    good = queries_score.good_invoices(t).join(t.lines.select("doc_id").distinct(), "doc_id", "left_semi").withColumns(style)
     only = lambda df: df.join(good.select("doc_id"), "doc_id", "left_semi").withColumns({k: style[k] for k in ("number_format", "label_variant")})
     rows = materialise(corpus.format_lines(only(t.placed_nets)), "printed-lines")
     blocks = (
@@ -70,7 +70,7 @@ def assembled(t: Tables) -> dict[str, DataFrame]:
     return t._assembled
 
 
-part("whole", "SELECT * FROM good WHERE currency <> '€' AND doc_id IN (SELECT doc_id FROM line)", "good", "line")
+part("whole", "SELECT * REPLACE (CASE WHEN currency = '€' THEN 'EUR' ELSE currency END AS currency) FROM good WHERE doc_id IN (SELECT doc_id FROM line)", "good", "line")
 part("whole_line", "SELECT * REPLACE (CASE WHEN unit_code = 'Stück' THEN 'H87' ELSE unit_code END AS unit_code) FROM line WHERE doc_id IN (SELECT doc_id FROM whole)", "whole")
 part("whole_ex", """
 SELECT e.* FROM ex e WHERE doc_id IN (SELECT doc_id FROM whole) AND (reason IS NOT NULL OR reason_code IS NOT NULL)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import model
 from ..functions.text import tagged_sha256
 from ..operators import scoring
 from ..sources import invoice_xml, records, validator_reports
 from . import views
 from .bindings import Tables
-from .oracle_parts import flat_sql, part, with_parts
+from .oracle_parts import HEADER, flat_sql, part, with_parts
 from .registry import query
 
 
@@ -123,11 +124,14 @@ def invoice_xml_read(t: Tables) -> DataFrame:
     return scoring.flatten_facts(back["invoices"], back["lines"], back["exemptions"])
 
 
-@query("invoice_xml_refused", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'not readable XML' ELSE 'missing BT-1' END AS reason FROM orders WHERE o_orderkey % 10 < 2")
+@query("invoice_xml_refused", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 10 = 0 THEN 'not readable XML' ELSE 'missing BT-1' END AS reason FROM orders WHERE o_orderkey % 10 < 2")
 def invoice_xml_refused(t: Tables) -> DataFrame:
+    """Every order as a small document: some are cut off, some have no number, the others are not refused."""
     o = F.col("o_orderkey")
-    broken = F.when(o % 2 == 0, "<rsm:CrossIndustryInvoice><unclosed").otherwise("<a:X xmlns:a='u'><a:ExchangedDocument><a:TypeCode>380</a:TypeCode></a:ExchangedDocument></a:X>")
-    return invoice_xml.parse_invoice_xml(t.table("orders").where(o % 10 < 2).select(o.alias("doc_id"), broken.alias("xml")))["bad"]
+    number = F.when(o % 10 == 1, "").otherwise(F.concat(F.lit("<a:ID>R-"), o.cast("string"), F.lit("</a:ID>")))
+    whole = F.concat(F.lit("<a:X xmlns:a='u'><a:ExchangedDocument>"), number, F.lit("<a:TypeCode>380</a:TypeCode></a:ExchangedDocument></a:X>"))
+    xml = F.when(o % 10 == 0, F.substring(whole, F.lit(1), (F.length(whole) - 1 - o % 50).cast("int"))).otherwise(whole)
+    return invoice_xml.parse_invoice_xml(t.table("orders").select(o.alias("doc_id"), xml.alias("xml")))["bad"]
 
 
 @query("xml_round_trip", with_parts(
@@ -264,14 +268,18 @@ def run_event_rows(t: Tables) -> DataFrame:
     return records.parse_run_events(recordings).drop("event")
 
 
+_SHOWN = [(p, c) for _, p, _, _ in model.VIEW_FIELDS for path, _, c in HEADER if path == p]
+
+
 @query("result_view", with_parts("""
 SELECT doc_id, path, value, CASE WHEN value IS NULL THEN '—' WHEN doc_id % 3 = 0 THEN 'p.1' WHEN doc_id % 3 = 1 THEN 'you' ELSE 'calc' END AS mark, path = 'buyerReference' AND doc_id % 7 = 0 AS missing
-FROM (SELECT doc_id, 'number' AS path, number AS value FROM inv UNION ALL SELECT doc_id, 'buyerReference', buyer_reference FROM inv UNION ALL SELECT doc_id, 'seller.name', nullif(seller_name, '') FROM inv)
+FROM (""" + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS path, nullif({c}, '') AS value FROM inv" for p, c in _SHOWN) + """)
 WHERE value IS NOT NULL OR (path = 'buyerReference' AND doc_id % 7 = 0)""", "inv"))
 def result_view(t: Tables) -> DataFrame:
+    """Every shown field of every invoice, from all facts of its model."""
     from ..operators.model_check import leaf_paths
     d = F.col("doc_id")
-    leaves = leaf_paths(t.invoices, t.lines.limit(0), t.exemptions.limit(0)).where(F.col("path").isin("number", "buyerReference", "seller.name"))
+    leaves = leaf_paths(t.invoices, t.lines, t.exemptions)
     facts = leaves.withColumns({"kind": F.when(d % 3 == 0, "evidence").when(d % 3 == 1, "user").otherwise("derived"), "page": F.lit(1)})
     missing = t.invoices.where(d % 7 == 0).select("doc_id", F.lit("buyerReference").alias("path"))
     return views.result_view(facts, missing, t.invoices).select("doc_id", "path", "value", "mark", "missing")
