@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: The column that says allow or block.
+JUDGEMENT = "verdict"
 #: Labelled urls that the trees are fitted on, at most.
 LABELLED = 20_000
 
 
 @dataclass(frozen=True)
 class UrlRule:
-    """host + path, and the verdict for urls on the host or a subdomain whose path starts with the path."""
+    """host + path, and the ruling for urls on the host or a subdomain whose path starts with the path."""
     rule: str
-    verdict: str
+    ruling: str
 
     @property
     def host(self) -> str:
@@ -46,11 +48,11 @@ def ruled(rows: DataFrame, rules: list[UrlRule]) -> DataFrame:
     order = sorted(rules, key=lambda r: -len(r.rule))
     fits = [((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path) for r in order]
     pick = lambda values: F.coalesce(*(F.when(f, F.lit(v)) for f, v in zip(fits, values, strict=True)), F.lit(None).cast("string"))
-    return rows.withColumn("rule", pick([r.rule for r in order])).withColumn("ruling", pick([r.verdict for r in order]))
+    return rows.withColumn("rule", pick([r.rule for r in order])).withColumn("ruling", pick([r.ruling for r in order]))
 
 
 FEATURES = ("f_length", "f_host", "f_path", "f_depth", "f_labels", "f_digits", "f_signs", "f_entropy", "f_params", "f_query", "f_secure",
-            "f_suffix_log", "f_suffix_blocked", "f_host_log")
+            "f_suffix_rows", "f_suffix_length", "f_suffix_params", "f_host_log")
 
 
 def _count(text: Column, letter: str) -> Column:
@@ -65,12 +67,12 @@ def _entropy(text: Column) -> Column:
     return F.coalesce(-F.aggregate(parts, F.lit(0.0), lambda a, p: a + p * F.log2(p)), F.lit(0.0))
 
 
-def lexical(rows: DataFrame, usual: float) -> DataFrame:
+def lexical(rows: DataFrame) -> DataFrame:
     """`rows` (url, host, path, ruling) with the columns of FEATURES and `suffix`, the last label of the host.
 
-    Counts of suffix and host are over all rows, the blocked share of a suffix over its ruled rows, drawn towards the
-    `usual` share (that of all ruled rows), which a suffix without any has. Both are joined back by key; a suffix with most of the rows is one short row of statistics, so the join may
-    split it."""
+    Statistics of suffix and host are over all rows and know nothing of rulings, or the trees would learn the rules'
+    own suffixes: of a suffix the order of magnitude of its rows, their mean length and the share with parameters. They
+    are joined back by key; a suffix with most of the rows is one short row of statistics, so the join may split it."""
     url = F.coalesce(F.col("url"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
@@ -82,20 +84,20 @@ def lexical(rows: DataFrame, usual: float) -> DataFrame:
            .withColumn("f_signs", F.length(F.regexp_replace(url, "[A-Za-z0-9]", "")) / size)
            .withColumn("f_entropy", _entropy(url)).withColumn("f_params", _count(query, "=").cast("double"))
            .withColumn("f_query", F.length(query).cast("double")).withColumn("f_secure", F.lower(url).startswith("https://").cast("double")))
-    blocked = F.sum(F.when(F.col("ruling") == "block", 1).otherwise(0))
-    known = F.sum(F.when(F.col("ruling").isNotNull(), 1).otherwise(0))
-    suffixes = rows.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(
-        F.log1p(F.count(F.lit(1)).cast("double")).alias("f_suffix_log"), ((blocked + 10 * usual) / (known + 10.0)).alias("f_suffix_blocked"))
+    suffixes = out.groupBy("suffix").agg(
+        F.round(F.log10(F.count(F.lit(1)).cast("double"))).alias("f_suffix_rows"), F.avg("f_length").alias("f_suffix_length"),
+        F.avg((F.col("f_params") > 0).cast("double")).alias("f_suffix_params"))
     hosts = rows.groupBy("host").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("f_host_log"))
     return out.join(suffixes, "suffix").join(hosts, "host")
 
 
 def judge(pages: DataFrame, rules: list[UrlRule], limit: int = LABELLED, trees: int = 10, depth: int = 4, seed: int = 7) -> DataFrame:
-    """One row per row of `pages` (page_id, url): page_id, host, path, rule, blocked_score, verdict.
+    """One row per row of `pages` (page_id, url): page_id, host, path, rule, blocked_score and the
+    judgement (column JUDGEMENT: allow or block).
 
-    The verdict is the rule's where one fits, else that of gradient-boosted trees fitted on at most `limit` urls that
+    It is the rule's where one fits, else that of gradient-boosted trees fitted on at most `limit` urls that
     the rules label (the first by a hash of url and id). blocked_score is their chance of block, also for ruled urls.
-    Where the labels have one verdict only there are no trees: that verdict holds, and allow without labels. Null
+    Where all labels are alike there are no trees: that one holds, and allow without labels. Null
     and empty urls are judged like others; repeated rows have a row each; other columns are left out."""
     host, path = parsed(F.col("url"))
     rows = ruled(pages.select("page_id", "url").withColumn("host", host).withColumn("path", path), rules)
@@ -103,12 +105,12 @@ def judge(pages: DataFrame, rules: list[UrlRule], limit: int = LABELLED, trees:
     if len(seen) < 2:
         only = next(iter(seen), "allow")
         return rows.select("page_id", "host", "path", "rule", F.lit(float(only == "block")).alias("blocked_score"),
-                           F.coalesce("ruling", F.lit(only)).alias("verdict"))
+                           F.coalesce("ruling", F.lit(only)).alias(JUDGEMENT))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-        lexical(rows, seen.get("block", 0) / sum(seen.values())))
+        lexical(rows))
     sample = vectors.where("ruling is not null").orderBy(F.xxhash64("url", "page_id")).limit(limit)
     sample = written(sample.select("features", (F.col("ruling") == "block").cast("double").alias("target")), "urls")
     trees_ = GBTClassifier(featuresCol="features", labelCol="target", maxIter=trees, maxDepth=depth, seed=seed).fit(sample)
     scored = trees_.transform(vectors).withColumn("blocked_score", vector_to_array("probability")[1])
     return scored.select("page_id", "host", "path", "rule", "blocked_score", F.coalesce(
-        "ruling", F.when(F.col("blocked_score") >= 0.5, "block").otherwise("allow")).alias("verdict"))
+        "ruling", F.when(F.col("blocked_score") >= 0.5, "block").otherwise("allow")).alias(JUDGEMENT))
