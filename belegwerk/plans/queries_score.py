@@ -9,7 +9,7 @@ from .. import model
 from ..functions.text import tagged_sha256
 from ..operators import scoring
 from ..sources import invoice_xml, records, validator_reports
-from . import views
+from . import evaluate, views
 from .bindings import Tables
 from .oracle_parts import HEADER, flat_sql, part, with_parts
 from .registry import query
@@ -215,17 +215,20 @@ SELECT r.doc_id, state, expected, state = expected AND NOT failed AS as_expected
 FROM eval_run r JOIN compared c ON c.doc_id = r.doc_id GROUP BY ALL""", "eval_run", "compared")
 
 
-def scored(t: Tables) -> DataFrame:
+def _runs(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     grand = F.lit("10.00")
-    runs = t.invoices.select(
+    return t.invoices.select(
         "doc_id", F.when(d % 4 < 2, "OUTPUT").when(d % 4 == 2, "NEEDS_INPUT").otherwise("FAILED").alias("state"),
         scoring.expected_state(F.when(d % 3 == 1, "needs-input").when(d % 3 == 2, "rejected")).alias("expected"),
         F.when(d % 12 == 3, "crash").alias("error"), (d % 5 != 0).alias("valid"), (d % 4).cast("int").alias("iterations"),
         F.when(d % 50 == 0, 1).otherwise(0).cast("long").alias("fields_without_provenance"),
         ((100 + d * 7 % 900).cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)").alias("cost"), (1000 + d * 37 % 5000).alias("ms"),
         grand.alias("truth_grand"), F.when(d % 8 != 0, grand).otherwise("9.99").alias("got_grand"), grand.alias("truth_due"), grand.alias("got_due"))
-    return scoring.score_documents(compared(t), runs)
+
+
+def scored(t: Tables) -> DataFrame:
+    return scoring.score_documents(compared(t), _runs(t))
 
 
 @query("document_scores", with_parts("SELECT * FROM scored", "scored"))
@@ -243,6 +246,76 @@ def evaluation_summary(t: Tables) -> DataFrame:
     return scoring.summarize_eval(scored(t))
 
 
+# --- readers side by side -----------------------------------------------------------------------------
+
+
+def corpus_of(t: Tables) -> evaluate.Corpus:
+    d, total = F.col("doc_id"), F.lit("10.00")
+    expected = t.invoices.select(
+        "doc_id", scoring.expected_state(F.when(d % 3 == 1, "needs-input").when(d % 3 == 2, "rejected")).alias("expected"),
+        total.alias("truth_grand"), total.alias("truth_due"))
+    return evaluate.Corpus((t.invoices, t.lines, t.exemptions), expected)
+
+
+def careless(t: Tables) -> evaluate.Pipeline:
+    """A reader that loses, changes and invents fields."""
+    def read(corpus: evaluate.Corpus) -> evaluate.Reading:
+        return evaluate.Reading((t.got_invoices, t.got_lines, t.exemptions), _runs(t).drop("expected", "truth_grand", "truth_due"))
+
+    return read
+
+
+def exact(corpus: evaluate.Corpus) -> evaluate.Reading:
+    """A reader that knows everything and never asks."""
+    runs = corpus.expected.select(
+        "doc_id", F.lit("OUTPUT").alias("state"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("valid"), F.lit(0).alias("iterations"),
+        F.lit(0).cast("long").alias("fields_without_provenance"), F.lit("0").cast("decimal(18,6)").alias("cost"),
+        (F.lit(1000) + F.col("doc_id") % 7).cast("long").alias("ms"), F.col("truth_grand").alias("got_grand"), F.col("truth_due").alias("got_due"))
+    return evaluate.Reading(corpus.truth, runs)
+
+
+def evaluated(t: Tables) -> dict[str, DataFrame]:
+    return evaluate.evaluate(corpus_of(t), {"careless": careless(t), "exact": exact})
+
+
+part("side", """
+SELECT 'careless' AS pipeline, doc_id, state, expected, as_expected, valid, iterations, fields_without_provenance, cost, ms, fields_total, fields_correct, fields_invented, totals_correct FROM scored
+UNION ALL SELECT 'exact', r.doc_id, 'OUTPUT', expected, expected = 'OUTPUT', true, 0, 0, CAST(0 AS DECIMAL(18,6)), 1000 + r.doc_id % 7, n, n, 0, true
+FROM eval_run r JOIN (SELECT doc_id, count(*) AS n FROM truth GROUP BY doc_id) USING (doc_id)""", "scored", "eval_run", "truth")
+part("side_summary", """
+SELECT pipeline, count(*) AS documents, count(*) FILTER (state = 'OUTPUT' AND valid) AS valid_outputs,
+  count(*) FILTER (state = 'OUTPUT' AND valid AND totals_correct AND fields_without_provenance = 0) AS gate_pass, count(*) FILTER (as_expected) AS as_expected,
+  CAST(sum(fields_correct) AS BIGINT) AS fields_correct, CAST(sum(fields_total) AS BIGINT) AS fields_total, CAST(sum(fields_invented) AS BIGINT) AS fields_invented,
+  CAST(sum(fields_without_provenance) AS BIGINT) AS fields_without_provenance, CAST(sum(iterations) AS BIGINT) AS iterations,
+  CAST(round(sum(cost), 4) AS DECIMAL(18,4)) AS total_cost, percentile_disc(0.5) WITHIN GROUP (ORDER BY ms) AS median_ms FROM side GROUP BY pipeline""", "side")
+part("side_term", """
+SELECT 'careless' AS pipeline, term, count(*) AS total, count(*) FILTER (status = 'correct') AS correct FROM compared WHERE status <> 'invented' GROUP BY term
+UNION ALL SELECT 'exact', term, count(*), count(*) FROM truth GROUP BY term""", "compared", "truth")
+
+
+@query("pipelines_side_by_side", with_parts("SELECT * FROM side_summary", "side_summary"))
+def pipelines_side_by_side(t: Tables) -> DataFrame:
+    """One summary per reader over the whole corpus."""
+    return evaluated(t)["summary"]
+
+
+_SUMMARY_JSON = ", ".join(f"'{evaluate._camel(c)}': {'CAST(total_cost AS VARCHAR)' if c == 'total_cost' else c}" for c in evaluate.SUMMARY)
+
+
+@query("evaluation_report", with_parts(f"""
+SELECT pipeline, 0 AS section, '' AS key, '{{"summary":' || CAST(to_json({{{_SUMMARY_JSON}}}) AS VARCHAR) || ',"terms":[' AS line FROM side_summary
+UNION ALL SELECT pipeline, 1, key, CASE WHEN row_number() OVER (PARTITION BY pipeline ORDER BY key) = 1 THEN '' ELSE ',' END || json FROM (
+  SELECT pipeline, lpad(regexp_extract(term, '[0-9]+'), 6, '0') || ' ' || term AS key, CAST(to_json({{'term': term, 'correct': correct, 'total': total}}) AS VARCHAR) AS json FROM side_term)
+UNION ALL SELECT pipeline, 2, '', '],"rows":[' FROM side_summary
+UNION ALL SELECT pipeline, 3, key, CASE WHEN row_number() OVER (PARTITION BY pipeline ORDER BY key) = 1 THEN '' ELSE ',' END || json FROM (
+  SELECT pipeline, CAST(doc_id AS VARCHAR) AS key, CAST(to_json({{'id': doc_id, 'state': state, 'expected': expected, 'asExpected': as_expected, 'valid': valid,
+    'fieldsTotal': fields_total, 'fieldsCorrect': fields_correct, 'fieldsInvented': fields_invented}}) AS VARCHAR) AS json FROM side)
+UNION ALL SELECT pipeline, 4, '', ']}}' FROM side_summary""", "side", "side_summary", "side_term"))
+def evaluation_report(t: Tables) -> DataFrame:
+    """The report of every reader, line by line as it is written."""
+    return evaluate.report_lines(evaluated(t))
+
+
 @query("not_as_expected", with_parts("SELECT doc_id, state, expected FROM scored WHERE NOT as_expected", "scored"))
 def not_as_expected(t: Tables) -> DataFrame:
     return records.not_as_expected(scored(t))

@@ -67,21 +67,5 @@ def read_run_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return parse_run_events(cases.where("run is not null")), cases.where("run is null").select("file")
 
 
-def report_parts(summary: DataFrame, terms: DataFrame, rows: DataFrame) -> DataFrame:
-    """The evaluation report as JSON lines (part, seq, json): summary, then terms, then rows."""
-    as_json = lambda df, part, order: df.select(
-        F.lit(part).alias("part"), F.col(order).cast("string").alias("key") if order else F.lit("").alias("key"),
-        F.to_json(F.struct(*df.columns)).alias("json"))
-    return as_json(summary, "summary", None).unionByName(as_json(terms, "term", "term")).unionByName(as_json(rows, "row", "doc_id"))
-
-
-def write_eval_report(summary: DataFrame, terms: DataFrame, rows: DataFrame, path: str) -> None:
-    """One folder per part of the report, plus the documents that did not end as expected."""
-    summary.write.json(f"{path}/summary")
-    terms.write.json(f"{path}/terms")
-    rows.write.json(f"{path}/rows")
-    not_as_expected(rows).write.json(f"{path}/not_as_expected")
-
-
 def not_as_expected(rows: DataFrame) -> DataFrame:
     return rows.where("not as_expected").select("doc_id", "state", "expected")
