@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_documents
-from .common import table
+from .common import table, written
 from .lengths import context_answers, length_histogram
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,4 +26,5 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by encoded length; every occurring length is a row and answers for that context limit."""
     encoded = encode_documents(table(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return context_answers(length_histogram(encoded.select(F.size("ids").alias("length"))))
+    # Read more than once below, and every reading would encode all texts again.
+    return context_answers(written(length_histogram(encoded.select(F.size("ids").alias("length"))), "histogram"))
