@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import model
 from ..functions.text import tagged_sha256
 from ..operators import audit, costs, limits
 from ..session import fresh_dir
@@ -98,36 +99,58 @@ def step_durations(t: Tables) -> DataFrame:
     return audit.step_durations(t.audit_events.withColumn("at_ms", at))
 
 
+#: The audit events once more, of every type in turn, with the data that such events carry.
+_TYPES = [s[0] for s in model.STATIONS]
+_LABELS = ", ".join(f"('{t}', '{label}', '{initials}')" for t, label, initials, _ in model.STATIONS)
+part("told", f"""
+SELECT run_id, seq, [{", ".join(f"'{t}'" for t in _TYPES)}][event_id % {len(_TYPES)} + 1] AS type, (event_id // {len(_TYPES)}) % 2 = 0 AS even,
+  CAST(json_extract_string(data, '$.k') AS BIGINT) AS k FROM audit""", "audit")
+
+
+def _told(t: Tables) -> DataFrame:
+    k, even = F.get_json_object("data", "$.k").cast("long"), F.expr(f"(event_id div {len(_TYPES)}) % 2 = 0")
+    many = lambda n: F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"path":"x"}'), n.cast("int")), ","), F.lit("]"))
+    said = lambda **fields: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{f}":'), v if isinstance(v, Column) else F.lit(v)) for f, v in fields.items()]), F.lit("}"))
+    text = lambda n: n.cast("string")
+    data = {
+        "INGEST": said(pages=text(k % 5)), "EXTRACT": F.when(even, F.lit('{"reused":true}')).otherwise(said(promptTokens=text(k), completionTokens=text(k % 7), costUsd='"0.00012"')),
+        "EVIDENCE_CHECK": said(accepted=text(k), rejected=many(k % 4)), "DERIVE": said(lines=text(k), vatGroups=text(k % 3)),
+        "CONSISTENCY_CHECK": said(totalWarnings=text(k % 2), lineMismatches=text(k % 3)),
+        "VALIDATE": F.when(even, said(valid="true", errorCount="0", reportHash='"sha256:abcdef0123456789"')).otherwise(said(valid="false", errorCount=text(k % 6))),
+        "REPAIR_PLAN": said(promptTokens=text(k), completionTokens="1", costUsd='"0.5"'), "PATCH_GUARD": said(accepted=many(k % 3), rejected=many(k % 4)),
+        "NEEDS_INPUT": said(missing=many(k % 3)), "REJECTED": F.lit('{"rules":["BR-E-10","BR-O-10"]}'), "USER_INPUT": F.lit('{"fields":["BT-1","BT-2"]}')}
+    kind = F.get(F.array(*[F.lit(x) for x in _TYPES]), (F.col("event_id") % len(_TYPES)).cast("int"))
+    told = t.audit_events.withColumn("type", kind)
+    return told.withColumns({
+        "data": F.coalesce(*[F.when(F.col("type") == x, v) for x, v in data.items()], F.lit("{}")),
+        "input_hash": F.when(F.col("type") == "INGEST", tagged_sha256(F.col("run_id"))), "output_hash": F.when(F.col("type") == "BUILD_CII", tagged_sha256(F.col("run_id")))})
+
+
 @query("event_counts", with_parts("""
 SELECT run_id, arg_max(k, seq) FILTER (type = 'EVIDENCE_CHECK') AS accepted, arg_max(k % 4, seq) FILTER (type = 'EVIDENCE_CHECK') AS rejected,
   arg_max(k, seq) FILTER (type = 'DERIVE') AS lines, arg_max(k % 3, seq) FILTER (type = 'DERIVE') AS vat_groups,
-  CAST(NULL AS BIGINT) AS total_warnings, CAST(NULL AS BIGINT) AS line_mismatches, CAST(NULL AS BIGINT) AS error_count
-FROM (SELECT *, CAST(json_extract_string(data, '$.k') AS BIGINT) AS k FROM audit) GROUP BY run_id""", "audit"))
+  arg_max(k % 2, seq) FILTER (type = 'CONSISTENCY_CHECK') AS total_warnings, arg_max(k % 3, seq) FILTER (type = 'CONSISTENCY_CHECK') AS line_mismatches,
+  arg_max(CASE WHEN even THEN 0 ELSE k % 6 END, seq) FILTER (type = 'VALIDATE') AS error_count
+FROM told GROUP BY run_id""", "told"))
 def event_counts(t: Tables) -> DataFrame:
-    return audit.event_counts(_with_counters(t))
-
-
-def _with_counters(t: Tables) -> DataFrame:
-    k = F.get_json_object("data", "$.k").cast("long")
-    refused = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"path":"x"}'), (k % 4).cast("int")), ","), F.lit("]"))
-    data = (
-        F.when(F.col("type") == "EVIDENCE_CHECK", F.concat(F.lit('{"accepted":'), k.cast("string"), F.lit(',"rejected":'), refused, F.lit("}")))
-        .when(F.col("type") == "DERIVE", F.concat(F.lit('{"lines":'), k.cast("string"), F.lit(',"vatGroups":'), (k % 3).cast("string"), F.lit("}")))
-        .when(F.col("type") == "INGEST", F.concat(F.lit('{"pages":'), (k % 5).cast("string"), F.lit("}")))
-        .when(F.col("type") == "REJECTED", F.lit('{"rules":["BR-E-10","BR-O-10"]}')).otherwise(F.lit("{}"))
-    )
-    return t.audit_events.withColumns({"data": data, "input_hash": F.when(F.col("type") == "INGEST", tagged_sha256(F.col("run_id")))})
+    return audit.event_counts(_told(t))
 
 
-@query("station_notes", with_parts("""
-SELECT run_id, seq, type, CASE type WHEN 'INGEST' THEN 'Received' WHEN 'DERIVE' THEN 'Amounts computed' WHEN 'EVIDENCE_CHECK' THEN 'Quotes checked' WHEN 'REJECTED' THEN 'Rejected' ELSE 'Issued' END AS label,
-  CASE type WHEN 'INGEST' THEN 'IN' WHEN 'DERIVE' THEN 'CALC' WHEN 'EVIDENCE_CHECK' THEN 'EVD' WHEN 'REJECTED' THEN 'REJ' ELSE 'OUT' END AS initials,
-  CASE type WHEN 'INGEST' THEN (k % 5) || ' page' || CASE WHEN k % 5 = 1 THEN '' ELSE 's' END || ' · ' || substr(sha256(run_id), 1, 10)
+@query("station_notes", with_parts(f"""
+SELECT run_id, seq, type, label, initials, CASE type WHEN 'INGEST' THEN (k % 5) || ' page' || CASE WHEN k % 5 = 1 THEN '' ELSE 's' END || ' · ' || substr(sha256(run_id), 1, 10)
+    WHEN 'EXTRACT' THEN CASE WHEN even THEN 'previous reading reused' ELSE k || ' → ' || (k % 7) || ' tokens · $0.00012' END
+    WHEN 'EVIDENCE_CHECK' THEN k || ' quoted · ' || (k % 4) || ' refused'
     WHEN 'DERIVE' THEN k || ' line' || CASE WHEN k = 1 THEN '' ELSE 's' END || ' · ' || (k % 3) || ' VAT group' || CASE WHEN k % 3 = 1 THEN '' ELSE 's' END
-    WHEN 'EVIDENCE_CHECK' THEN k || ' quoted · ' || (k % 4) || ' refused' WHEN 'REJECTED' THEN 'BR-E-10, BR-O-10 cannot be met from the document' ELSE 'audit chain closed' END AS note
-FROM (SELECT *, CAST(json_extract_string(data, '$.k') AS BIGINT) AS k FROM audit)""", "audit"))
+    WHEN 'CONSISTENCY_CHECK' THEN CASE WHEN k % 3 > 0 THEN (k % 3) || ' line' || CASE WHEN k % 3 = 1 THEN '' ELSE 's' END || ' contradict the page'
+      WHEN k % 2 > 0 THEN 'printed total differs' ELSE 'all lines match the page' END
+    WHEN 'BUILD_CII' THEN substr(sha256(run_id), 1, 10)
+    WHEN 'VALIDATE' THEN CASE WHEN even THEN 'accepted · report abcdef0123' ELSE (k % 6) || ' rule violation' || CASE WHEN k % 6 = 1 THEN '' ELSE 's' END END
+    WHEN 'REPAIR_PLAN' THEN k || ' → 1 tokens · $0.50000' WHEN 'PATCH_GUARD' THEN (k % 3) || ' accepted · ' || (k % 4) || ' voided'
+    WHEN 'NEEDS_INPUT' THEN CASE WHEN k % 3 > 0 THEN (k % 3) || ' fact' || CASE WHEN k % 3 = 1 THEN '' ELSE 's' END || ' not on the document' ELSE 'could not be resolved from the document' END
+    WHEN 'REJECTED' THEN 'BR-E-10, BR-O-10 cannot be met from the document' WHEN 'USER_INPUT' THEN 'BT-1, BT-2' WHEN 'OUTPUT' THEN 'audit chain closed' END AS note
+FROM told JOIN (VALUES {_LABELS}) s(type, label, initials) USING (type)""", "told"))
 def station_notes(t: Tables) -> DataFrame:
-    return audit.station_notes(_with_counters(t))
+    return audit.station_notes(_told(t))
 
 
 # --- costs ----------------------------------------------------------------------------------------
