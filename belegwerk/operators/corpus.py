@@ -238,6 +238,23 @@ def mutate_corpus(invoices: DataFrame, lines: DataFrame, totals: DataFrame, base
         printed_amounts(totals.join(chosen, "doc_id")))
 
 
+def corpus_union(invoices: DataFrame, totals: DataFrame, mutated: DataFrame, printed: DataFrame) -> DataFrame:
+    """The whole corpus as one table with its truth: every clean and noisy variant of `invoices` and every mutated one.
+
+    mutated and printed come from `mutate_corpus`. Columns: id ('set/doc-name'), set, name, source_id, the truth as in the
+    invoice table, and the printed tax_total and grand_total (null where a document has no lines). A mutated entry's
+    truth is the mutated invoice; its printed amounts may differ from what the truth gives."""
+    facts = [c for c in invoices.columns if c != "doc_id"]
+    varied = variant_rows(invoices)
+    pages = varied.select(F.col("doc_id").alias("id"), "set", F.col("variant").alias("name"), "source_id", *facts)
+    amounts = totals.select(F.col("doc_id").alias("source_id"), "tax_total", "grand_total")
+    plain = pages.join(amounts, "source_id", "left")
+    hurt = mutated.join(printed.select("doc_id", "mutation_id", "tax_total", "grand_total"), ["doc_id", "mutation_id"], "left").select(
+        F.concat(F.lit("mutated/"), F.col("doc_id").cast("string"), F.lit("-"), "mutation_id").alias("id"), F.lit("mutated").alias("set"),
+        F.col("mutation_id").alias("name"), F.col("doc_id").alias("source_id"), *facts, "tax_total", "grand_total")
+    return plain.unionByName(hurt)
+
+
 def check_mutations(cases: DataFrame, findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """cases(case_id, detected_by, accepted_anyway) -> hit, valid, ok. Rule 'none' has to stay valid."""
     hits = findings.select("case_id", "rule_id").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..codelists import CodeLists
 from ..operators import amounts, audit, corpus, evidence, patches, rules
+from ..session import materialise
 from ..sources import extractions
 from ..streaming import jobs
 from . import queries_model, queries_runs, queries_score, repair
@@ -144,6 +145,23 @@ def mutated_corpus(t: Tables) -> DataFrame:
     return lines.join(printed, ["doc_id", "mutation_id"]).select("doc_id", "mutation_id", "line_index", "vat_category", "vat_rate", "unit_code", "tax_total", "grand_total")
 
 
+@query("corpus_union", with_parts(f"""
+SELECT "set" || '/' || doc_id || '-' || variant AS id, "set", variant AS name, doc_id AS source_id, number, buyer_reference, currency, seller_city, contact_phone, iban, {money("tax_cents")} AS tax_total, {money("grand_cents")} AS grand_total
+FROM good CROSS JOIN (VALUES {", ".join(f"('{v[0]}', '{v[1]}')" for v in corpus.VARIANTS)}) v("set", variant) LEFT JOIN tot USING (doc_id)
+UNION ALL
+SELECT 'mutated/' || doc_id || '-' || mutation_id, 'mutated', mutation_id, doc_id, number, CASE WHEN mutation_id = 'missing-buyer-reference' THEN '' ELSE buyer_reference END,
+  CASE WHEN mutation_id = 'invalid-currency-symbol' THEN '€' ELSE currency END, CASE WHEN mutation_id = 'missing-seller-city' THEN '' ELSE seller_city END,
+  CASE WHEN mutation_id = 'missing-seller-phone' THEN '' ELSE contact_phone END, CASE WHEN mutation_id <> 'missing-iban' THEN iban END,
+  {money("tax_cents + CASE WHEN mutation_id = 'vat-amount-off' THEN 10 ELSE 0 END")}, {money("grand_cents + CASE WHEN mutation_id = 'grand-total-off' THEN 100 ELSE 0 END")}
+FROM inv JOIN base USING (doc_id) LEFT JOIN tot USING (doc_id)""", "good", "inv", "base", "tot"))
+def corpus_union(t: Tables) -> DataFrame:
+    """Clean, noisy and mutated documents as one corpus with its truth, stored and read again."""
+    mutated, _, printed = corpus.mutate_corpus(t.invoices, t.lines, t.totals, bases(t))
+    stored = materialise(corpus.corpus_union(queries_score.good_invoices(t), t.totals, mutated, printed), "corpus")
+    return stored.select("id", "set", "name", "source_id", "number", "buyer_reference", "currency", F.col("seller.address.city").alias("seller_city"),
+                         F.col("seller.contact.phone").alias("contact_phone"), F.col("payment.iban").alias("iban"), "tax_total", "grand_total")
+
+
 @query("checked_mutations", """
 SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 5 = 0 THEN 'none' WHEN o_orderkey % 5 = 1 THEN 'BR-CL-23' ELSE 'BR-DE-1' END AS detected_by, o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AS hit, o_orderkey % 2 = 0 AS valid,
   CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 2 = 0 ELSE o_orderkey % 3 <> 0 AND (o_orderkey % 2 = 0) = (o_orderkey % 5 = 1) END AS ok FROM orders""")
