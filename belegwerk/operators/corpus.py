@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,21 +11,22 @@ from ..functions import printing as P
 from ..functions.text import WS, strip
 from .ordering import join_in_order
 
+
+
+@dataclass(frozen=True)
+class Pools:
+    """What placeholders are filled with; invented, and any other names will do."""
+    sellers: tuple[str, ...] = ("Mühlbach Druck GmbH", "Sandner Elektro KG", "Ostwerk Planung GmbH", "Falkner & Reuß OHG", "Tiefenthal Software UG")
+    buyers: tuple[str, ...] = ("Stadt Rosenfurt", "Kreisamt Wiesengrund", "Landesarchiv Oberau", "Gemeindewerke Steinach")
+    streets: tuple[str, ...] = ("Mühlweg 4", "Am Alten Hof 16", "Schulgasse 9", "Werftstraße 31b", "Gartenring 2")
+    second_lines: tuple[str, ...] = ("Aufgang C", "2. Stock", "Postfach 88")
+    cities: tuple[str, ...] = ("Rosenfurt", "Wiesengrund", "Oberau", "Steinach", "Kaltenbrunn")
+    people: tuple[str, ...] = ("Ines Vogt", "Karim Daher", "Britta Loos", "Jonas Ahrens")
+    registrations: tuple[str, ...] = ("HRB 7031 Amtsgericht Rosenfurt", "HRA 254 Amtsgericht Steinach")
+    items: tuple[str, ...] = ("Wartungsvertrag Aufzug", "Schulung Brandschutz", "Lieferung Papier A4")
+
+
 # --- Fixed values ---------------------------------------------------------------------------
-SELLERS = (
-    "Nordwind Fachverlag GmbH", "Brückner & Söhne Haustechnik KG", "Lindenhof Seminare e. V.", "Kranich Bürosysteme GmbH",
-    "Elbtal Medienservice UG", "Hagedorn Laborbedarf GmbH", "Weißdorn IT-Dienste GmbH", "Auerbach Gebäudereinigung OHG",
-)
-BUYERS = (
-    "Stadtverwaltung Birkenfeld", "Landesamt für Statistik Musterland", "Kreisverwaltung Ahornhain", "Gemeinde Lerchenau",
-    "Zentrale Vergabestelle Eichstedt", "Hochschule Tannenberg",
-)
-STREETS = ("Hafenstraße 12", "Am Markt 3", "Lindenallee 47", "Industriering 8", "Kirchweg 21", "Bahnhofstraße 5a")
-LINE2 = ("Gebäude B", "3. OG", "Postfach 1120", "Hinterhaus")
-CITIES = ("Birkenfeld", "Ahornhain", "Lerchenau", "Eichstedt", "Tannenberg", "Musterstadt")
-PEOPLE = ("Jana Wiesner", "Tobias Hartung", "Leonie Brandt", "Murat Yilmaz", "Sofia Lehmann", "Paul Neumann")
-REGISTRATIONS = ("HRB 48213 Amtsgericht Birkenfeld", "HRA 1172 Amtsgericht Eichstedt", "VR 5530 Amtsgericht Tannenberg")
-ITEMS = ("Fachzeitschrift Verwaltung digital", "Seminar: Vergaberecht kompakt", "Ausgabe 2026", "Jahresabo")
 PLACEHOLDER = r"(?iu)^\[[^\]]*\]\z|^…\z|^nicht vorhanden\z|^-\z"
 
 # Document defects (id, expected outcome, fields, rule, accepted anyway, who it applies to).
@@ -69,13 +72,13 @@ def _pick(pool: tuple[str, ...], seed: Column, salt: int) -> Column:
     return F.get(values, ((seed * 7 + salt * 13) % len(pool)).cast("int"))
 
 
-def _dress_text(col: Column, seed: Column) -> Column:
-    bracketed = F.regexp_replace(col, F.lit(r"\[(?:\.\.\.|…)\]"), _pick(ITEMS, seed, 1))
-    return F.replace(bracketed, F.lit("…"), _pick(ITEMS, seed, 2))
+def _dress_text(col: Column, seed: Column, items: tuple[str, ...]) -> Column:
+    bracketed = F.regexp_replace(col, F.lit(r"\[(?:\.\.\.|…)\]"), _pick(items, seed, 1))
+    return F.replace(bracketed, F.lit("…"), _pick(items, seed, 2))
 
 
-def dress_invoices(invoices: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fill bracket placeholders from fixed pools; invoices carry a seed column. Long line ids become positions."""
+def dress_invoices(invoices: DataFrame, lines: DataFrame, pools: Pools = Pools()) -> tuple[DataFrame, DataFrame]:
+    """Fill bracket placeholders from `pools`; invoices carry a seed column. Long line ids become positions."""
     seed = F.col("seed").cast("long")
     fill = lambda c, pool, salt: F.when(strip(F.col(c)).rlike(PLACEHOLDER), _pick(pool, seed, salt)).otherwise(F.col(c))
     number = F.when(
@@ -84,28 +87,28 @@ def dress_invoices(invoices: DataFrame, lines: DataFrame) -> tuple[DataFrame, Da
     phone = F.when(
         F.col("seller.contact.phone").rlike(r"\[|…"),
         F.concat(F.lit("+49 30 "), (4400 + seed % 90).cast("string"), (100 + seed).cast("string"), F.lit("-0"))).otherwise(F.col("seller.contact.phone"))
-    seller_name = fill("seller.name", SELLERS, 0)
+    seller_name = fill("seller.name", pools.sellers, 0)
 
     def address(party: str, salts: tuple[int, int, int]) -> Column:
         a = F.col(f"{party}.address")
-        for name, pool, salt in zip(("line1", "line2", "city"), (STREETS, LINE2, CITIES), salts):
+        for name, pool, salt in zip(("line1", "line2", "city"), (pools.streets, pools.second_lines, pools.cities), salts):
             a = a.withField(name, fill(f"{party}.address.{name}", pool, salt))
         return a
 
     holder = F.when(strip(F.col("payment.account_name")).rlike(PLACEHOLDER), seller_name).otherwise(F.col("payment.account_name"))
     dressed = invoices.withColumns({
         "number": number,
-        "payment_terms": _dress_text(F.col("payment_terms"), seed),
+        "payment_terms": _dress_text(F.col("payment_terms"), seed, pools.items),
         "seller": F.col("seller").withField("name", seller_name)
-        .withField("legal_registration_id", fill("seller.legal_registration_id", REGISTRATIONS, 1))
+        .withField("legal_registration_id", fill("seller.legal_registration_id", pools.registrations, 1))
         .withField("address", address("seller", (2, 3, 4)))
-        .withField("contact.name", fill("seller.contact.name", PEOPLE, 5)).withField("contact.phone", phone),
-        "buyer": F.col("buyer").withField("name", fill("buyer.name", BUYERS, 6)).withField("address", address("buyer", (7, 8, 9))),
+        .withField("contact.name", fill("seller.contact.name", pools.people, 5)).withField("contact.phone", phone),
+        "buyer": F.col("buyer").withField("name", fill("buyer.name", pools.buyers, 6)).withField("address", address("buyer", (7, 8, 9))),
         "payment": F.when(F.col("payment").isNotNull(), F.col("payment").withField("account_name", holder)),
     })
     long_id = F.col("id").rlike(rf"[{WS}]|\[|…") | (F.length("id") > 4)
     new_lines = lines.join(invoices.select("doc_id", "seed"), "doc_id").withColumns({
-        "name": _dress_text(F.col("name"), seed),
+        "name": _dress_text(F.col("name"), seed, pools.items),
         "id": F.when(long_id, (F.col("line_index") + 1).cast("string")).otherwise(F.col("id")),
     }).drop("seed")
     return dressed, new_lines

@@ -60,30 +60,35 @@ def in_scope(t: Tables) -> DataFrame:
     return corpus.select_in_scope(facts).select("doc_id")
 
 
-@query("dressed_invoices", """
+POOLS = corpus.Pools()
+
+
+def _picked(pool: tuple[str, ...], key: str, salt: int) -> str:
+    return f"[{', '.join(repr(v) for v in pool)}][({key} * 7 + {salt * 13}) % {len(pool)} + 1]"
+
+
+@query("dressed_invoices", f"""
 SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'RE-' || year(o_orderdate) || '-' || (1000 + o_orderkey) ELSE 'R-1' END AS number,
-  ['Nordwind Fachverlag GmbH','Brückner & Söhne Haustechnik KG','Lindenhof Seminare e. V.','Kranich Bürosysteme GmbH','Elbtal Medienservice UG','Hagedorn Laborbedarf GmbH','Weißdorn IT-Dienste GmbH','Auerbach Gebäudereinigung OHG'][o_orderkey * 7 % 8 + 1] AS seller_name,
-  ['Birkenfeld','Ahornhain','Lerchenau','Eichstedt','Tannenberg','Musterstadt'][(o_orderkey * 7 + 52) % 6 + 1] AS seller_city,
-  '+49 30 ' || (4400 + o_orderkey % 90) || (100 + o_orderkey) || '-0' AS phone,
-  ['Stadtverwaltung Birkenfeld','Landesamt für Statistik Musterland','Kreisverwaltung Ahornhain','Gemeinde Lerchenau','Zentrale Vergabestelle Eichstedt','Hochschule Tannenberg'][(o_orderkey * 7 + 78) % 6 + 1] AS buyer_name,
-  'bis ' || ['Fachzeitschrift Verwaltung digital','Seminar: Vergaberecht kompakt','Ausgabe 2026','Jahresabo'][(o_orderkey * 7 + 26) % 4 + 1] AS terms FROM orders""")
+  {_picked(POOLS.sellers, "o_orderkey", 0)} AS seller_name, {_picked(POOLS.cities, "o_orderkey", 4)} AS seller_city,
+  '+49 30 ' || (4400 + o_orderkey % 90) || (100 + o_orderkey) || '-0' AS phone, {_picked(POOLS.buyers, "o_orderkey", 6)} AS buyer_name,
+  'bis ' || {_picked(POOLS.items, "o_orderkey", 2)} AS terms FROM orders""")
 def dressed_invoices(t: Tables) -> DataFrame:
     o = F.col("doc_id")
     bare = t.invoices.join(t.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), "doc_id").withColumns({
         "seed": o, "issue_date": F.col("day"), "number": F.when(o % 3 == 0, "Rechnungsnummer").otherwise("R-1"), "payment_terms": F.lit("bis …"),
         "seller": F.col("seller").withField("name", F.lit("[Seller name]")).withField("address.city", F.lit("[…]")).withField("contact.phone", F.lit("[phone]")),
         "buyer": F.col("buyer").withField("name", F.lit("nicht vorhanden"))})
-    done, _ = corpus.dress_invoices(bare, t.lines)
+    done, _ = corpus.dress_invoices(bare, t.lines, POOLS)
     return done.select("doc_id", "number", F.col("seller.name").alias("seller_name"), F.col("seller.address.city").alias("seller_city"),
                        F.col("seller.contact.phone").alias("phone"), F.col("buyer.name").alias("buyer_name"), F.col("payment_terms").alias("terms"))
 
 
-@query("dressed_lines", with_parts("""SELECT doc_id, line_index, CASE WHEN doc_id % 2 = 0 THEN CAST(line_index + 1 AS VARCHAR) ELSE 'P' || line_index END AS id,
-  'Zeitschrift ' || ['Fachzeitschrift Verwaltung digital','Seminar: Vergaberecht kompakt','Ausgabe 2026','Jahresabo'][(doc_id * 7 + 13) % 4 + 1] AS name FROM line""", "line"))
+@query("dressed_lines", with_parts(f"""SELECT doc_id, line_index, CASE WHEN doc_id % 2 = 0 THEN CAST(line_index + 1 AS VARCHAR) ELSE 'P' || line_index END AS id,
+  'Zeitschrift ' || {_picked(POOLS.items, "doc_id", 1)} AS name FROM line""", "line"))
 def dressed_lines(t: Tables) -> DataFrame:
     index = F.col("line_index").cast("string")
     lines = t.lines.withColumns({"id": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("12345"), index)).otherwise(F.concat(F.lit("P"), index)), "name": F.lit("Zeitschrift [...]")})
-    return corpus.dress_invoices(t.invoices.withColumn("seed", F.col("doc_id")), lines)[1].select("doc_id", "line_index", "id", "name")
+    return corpus.dress_invoices(t.invoices.withColumn("seed", F.col("doc_id")), lines, POOLS)[1].select("doc_id", "line_index", "id", "name")
 
 
 # --- defects ------------------------------------------------------------------------------------------
