@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..codelists import CodeLists
 from ..functions import normalize as N
 from ..functions import shapes
+from ..functions.printing import MONTH_NAMES, print_date
 from ..functions.text import canonical
 from ..operators import claims, evidence, normalization
 from ..sources import extractions
@@ -242,6 +243,41 @@ _register_cases("normalize_iban", IBAN_CASES, N.iban)
 _register_cases("normalize_exemption_code", CODE_CASES, N.exemption_code)
 
 
+_MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in MONTH_NAMES) + "]"
+
+
+@query("normalize_printed_dates", f"""
+SELECT doc_id, raw, CASE WHEN k < 3 OR (k = 3 AND month(day) IN (1, 3, 5, 7, 8, 10, 12)) THEN CASE k WHEN 3 THEN strftime(day, '%Y-%m-31') ELSE strftime(day, '%Y-%m-%d') END END AS value,
+  CASE WHEN k = 4 THEN 'unrecognized date "' || raw || '"' WHEN k = 3 AND month(day) NOT IN (1, 3, 5, 7, 8, 10, 12) THEN 'invalid date ' || strftime(day, '%Y-%m-31') END AS reason
+FROM (SELECT o_orderkey AS doc_id, o_orderkey % 5 AS k, o_orderdate AS day, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
+  WHEN 2 THEN day(o_orderdate) || '. ' || {_MONTH_LIST}[month(o_orderdate)] || ' ' || year(o_orderdate) WHEN 3 THEN '31.' || strftime(o_orderdate, '%m.%Y') ELSE o_orderpriority END AS raw FROM orders)""")
+def normalize_printed_dates(t: Tables) -> DataFrame:
+    """Order dates as pages print them: in three forms, with the 31st of every month, and texts that are no dates."""
+    o, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = (F.when(o % 5 == 0, print_date(day, F.lit("de"))).when(o % 5 == 1, print_date(day, F.lit("iso"))).when(o % 5 == 2, print_date(day, F.lit("long")))
+           .when(o % 5 == 3, F.concat(F.lit("31."), F.date_format("o_orderdate", "MM.yyyy"))).otherwise(F.col("o_orderpriority")))
+    read = t.table("orders").select(o.alias("doc_id"), raw.alias("raw")).withColumn("n", N.date(F.col("raw")))
+    return read.select("doc_id", "raw", F.col("n.value").alias("value"), F.col("n.reason").alias("reason"))
+
+
+_CODES = ", ".join(f"'{c}'" for c in LISTS.countries)
+_WORDS = ", ".join(f"('{w}', '{c}')" for w, c in N.COUNTRY_WORDS.items())
+
+
+@query("normalize_customer_countries", f"""
+SELECT doc_id, raw, value, CASE WHEN value IS NULL THEN 'unknown country "' || raw || '"' END AS reason
+FROM (SELECT doc_id, raw, coalesce(CASE WHEN length(trim(raw)) = 2 AND upper(trim(raw)) IN ({_CODES}) THEN upper(trim(raw)) END, w.code) AS value
+  FROM (SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN lower(substring(n_name, 1, 2)) ELSE ' ' || substring(n_name, 1, 2) || ' ' END AS raw
+    FROM customer JOIN nation ON n_nationkey = c_nationkey) LEFT JOIN (VALUES {_WORDS}) w(word, code) ON w.word = lower(trim(raw)))""")
+def normalize_customer_countries(t: Tables) -> DataFrame:
+    """Nations of customers by name and by their first two letters, some of which are codes of other countries."""
+    k, name = F.col("c_custkey"), F.col("n_name")
+    raw = F.when(k % 3 == 0, name).when(k % 3 == 1, F.lower(F.substring(name, 1, 2))).otherwise(F.concat(F.lit(" "), F.substring(name, 1, 2), F.lit(" ")))
+    nations = t.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    read = t.table("customer").join(nations, "c_nationkey").select(k.alias("doc_id"), raw.alias("raw")).withColumn("n", N.country(F.col("raw"), LISTS))
+    return read.select("doc_id", "raw", F.col("n.value").alias("value"), F.col("n.reason").alias("reason"))
+
+
 @query("normalize_decimal_back", """
 SELECT l_orderkey AS doc_id, l_partkey, l_suppkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS value FROM lineitem""")
 def normalize_decimal_back(t: Tables) -> DataFrame:
