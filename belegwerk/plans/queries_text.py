@@ -11,6 +11,7 @@ from ..functions import shapes
 from ..functions.printing import MONTH_NAMES, print_date
 from ..functions.text import canonical
 from ..operators import claims, evidence, normalization
+from ..session import materialise
 from ..sources import extractions
 from .bindings import Tables
 from .oracle_parts import part, with_parts
@@ -51,8 +52,9 @@ LEFT JOIN (SELECT doc_id, substr(text_c, i, size) AS q, count(*) AS n FROM (
 def quote_occurrences(t: Tables) -> DataFrame:
     """Three characters from every three hundred of the text: how often does the document hold them?"""
     last = F.floor(F.greatest(F.length("text") - 11, F.lit(0)) / 300).cast("int")
-    places = t.table("documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    quotes = places.select("doc_id", F.substring("text", F.lit(11) + F.lit(300) * F.col("i"), F.lit(3)).alias("quote"))
+    # The pieces are cut before they become rows, so that no row carries its document's text.
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", F.lit(11) + F.lit(300) * i, F.lit(3)))
+    quotes = t.table("documents").select("doc_id", F.explode(pieces).alias("quote"))
     return evidence.find_occurrences(quotes, evidence.document_text(t.pages))
 
 
@@ -76,11 +78,14 @@ FROM (SELECT doc_id, text_c, words[i + 1] AS postcode, coalesce(words[CASE WHEN
 WHERE city <> '' AND postcode <> ''""", "text_c"))
 def city_follows_postcode(t: Tables) -> DataFrame:
     """Every twentieth word of a text as a postcode, with the word behind it or the one after that as the city."""
-    texts = evidence.document_text(t.pages)
+    # Stored, because it is read three times and the filters would be pushed below the canonical form and repeat it.
+    texts = materialise(evidence.document_text(t.pages), "texts")
     words = texts.select("doc_id", F.split("text_c", " ").alias("w")).where(F.size("w") > 1)
-    places = words.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1, F.lit(20))).alias("i"))
-    city = F.get("w", F.col("i") + F.when((F.col("doc_id") + F.col("i")) % 2 == 0, 1).otherwise(2))
-    cities = places.select("doc_id", F.coalesce(city, F.lit("")).alias("city"), F.coalesce(F.get("w", F.col("i")), F.lit("")).alias("postcode"))
+    word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    # Taken out before they become rows, so that no row carries its document's words.
+    place = lambda i: F.struct(word(i + F.when((F.col("doc_id") + i) % 2 == 0, 1).otherwise(2)).alias("city"), word(i).alias("postcode"))
+    places = F.transform(F.sequence(F.lit(1), F.size("w") - 1, F.lit(20)), place)
+    cities = words.select("doc_id", F.explode(places).alias("p")).select("doc_id", "p.city", "p.postcode")
     return evidence.cities_after_postcodes(cities.where("city <> '' and postcode <> ''"), texts)
 
 
