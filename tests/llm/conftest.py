@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 
+#: As in tests/conftest.py, which this module hides by its name when the whole suite is collected.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n int, kind string, keep boolean, row string, ids string"
 LABELS = "doc_id bigint, quality int, toxic int"
 
