@@ -5,7 +5,8 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from belegwerk.functions.text import WS, nfkc, squeeze
+from belegwerk.functions import normalize
+from belegwerk.functions.text import WS, canonical, nfkc, squeeze, strip
 from belegwerk.operators import corpus, evidence
 from belegwerk.plans import queries_text
 from belegwerk.plans.bindings import Tables
@@ -100,3 +101,31 @@ def test_variants_are_not_broadcast(spark):
     assert "BroadcastExchange" not in plan_of(pages)
     assert {(r.doc_id, r.page) for r in pages.collect()} == {
         (f"{v[0]}/{d}-{v[1]}", p) for d in range(3) for v in corpus.VARIANTS for p in ((1, 2) if v[6] else (1,))}
+
+
+def test_canonical_form_of_every_character(spark):
+    space, signs = re.compile(f"[{WS}]+"), str.maketrans("\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u2018\u2019\u201c\u201d\u201e", "-------''\"\"\"")
+    points = [c for c in [*range(0x20, 0x130), *range(0x1680, 0x1690), *range(0x2000, 0x2300), 0x3000, 0xFEFF]]
+    rows = spark.createDataFrame([(c, s) for c in points for s in (f"a{chr(c)}b", f"{chr(c)}a b", f"a  {chr(c)}", f"a {chr(c)} b")], "c int, s string")
+    for r in rows.select("c", "s", canonical("s").alias("t")).collect():
+        assert r.t == space.sub(" ", unicodedata.normalize("NFKC", r.s).translate(signs)).strip(" ").lower(), hex(r.c)
+
+
+def test_strip_takes_every_whitespace_from_the_ends_without_a_pattern(spark):
+    space = re.compile(f"^[{WS}]+|[{WS}]+\\Z")
+    points = [c for c in range(1, 0x3100)] + [0xFEFF, 0x1F600]
+    rows = spark.createDataFrame([(f"{chr(c)} {chr(c)}a{chr(c)}b {chr(c)}",) for c in points] + [("",), (" \n ",)], "s string")
+    shown = rows.select("s", strip(F.col("s")).alias("t"))
+    assert "regexp_replace" not in plan_of(shown)
+    for r in shown.collect():
+        assert r.t == space.sub("", r.s), repr(r.s)
+    assert rows.limit(1).select(strip(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_plain_numbers_take_the_short_way_to_the_same_result(spark):
+    """What the general rule makes of a number, it makes of it with a sign too: only there the short way is not taken."""
+    given = ["0", "12", "007", "1,5", "1.234,50", "1.2.3,4", "12.345.678,90", "1..2,3", " 12,50\n", "9,", ",9", "1,2,3", "1.234", "1.2", "1,2.3", "", None]
+    rows = spark.createDataFrame([(v, f) for v in given for f in ("de", "plain", None)], "v string, f string")
+    two = rows.select("v", "f", normalize.decimal(F.col("v"), F.col("f")).alias("a"), normalize.decimal(F.concat(F.lit("+"), F.trim("v")), F.col("f")).alias("b"))
+    for r in two.collect():
+        assert r.a is None or (r.a.value, r.a.reason is None) == (r.b.value, r.b.reason is None), (r.v, r.f)
