@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from belegwerk.functions import normalize
 from belegwerk.functions.text import WS, canonical, nfkc, squeeze, strip
 from belegwerk.operators import corpus, evidence
-from belegwerk.plans import queries_text
+from belegwerk.plans import queries_text, views
 from belegwerk.plans.bindings import Tables
 
 
@@ -129,3 +129,25 @@ def test_plain_numbers_take_the_short_way_to_the_same_result(spark):
     two = rows.select("v", "f", normalize.decimal(F.col("v"), F.col("f")).alias("a"), normalize.decimal(F.concat(F.lit("+"), F.trim("v")), F.col("f")).alias("b"))
     for r in two.collect():
         assert r.a is None or (r.a.value, r.a.reason is None) == (r.b.value, r.b.reason is None), (r.v, r.f)
+
+
+def test_only_shown_facts_are_shuffled_and_no_row_stands_for_an_empty_field(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = spark.createDataFrame(
+            [(1, "number", "R1", "evidence", 2), (1, "number", "R2", "user", 1), (1, "buyerReference", "", "derived", 1), (1, "lines.0.name", "x", "derived", 1),
+             (2, "currency", "EUR", "derived", 1), (2, "issueDate", "", "derived", 1), (3, "number", "R3", None, None), (None, "number", "R4", "user", 1)],
+            "doc_id bigint, path string, value string, kind string, page int")
+        missing = spark.createDataFrame(
+            [(1, "buyerReference"), (1, "buyerReference"), (2, "seller.electronicAddress"), (2, "lines.0.id"), (4, "number"), (None, "number")], "doc_id bigint, path string")
+        docs = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "doc_id bigint")
+        view = views.result_view(facts, missing, docs)
+        plan = plan_of(view)
+        assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, \d+\)", plan)) == len(re.findall("Exchange hashpartitioning", plan)) == 3
+        two = [(2, "currency", "EUR", "calc", False), (2, "seller.electronicAddress.value", None, "—", True)]
+        got = sorted(map(str, ((r.doc_id, r.path, r.value, r.mark, r.missing) for r in view.collect())))
+        assert got == sorted(map(str, [
+            (1, "buyerReference", None, "calc", True), (1, "number", "R1", "p.2", False), (1, "number", "R2", "you", False), *two, *two, (3, "number", "R3", "—", False)]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
