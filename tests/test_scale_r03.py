@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from belegwerk.functions import normalize
 from belegwerk.functions.text import WS, canonical, nfkc, squeeze, strip
-from belegwerk.operators import corpus, evidence
+from belegwerk.operators import amounts, corpus, evidence, scoring
 from belegwerk.plans import queries_text, views
 from belegwerk.plans.bindings import Tables
 
@@ -151,3 +151,38 @@ def test_only_shown_facts_are_shuffled_and_no_row_stands_for_an_empty_field(spar
             (1, "buyerReference", None, "calc", True), (1, "number", "R1", "p.2", False), (1, "number", "R2", "you", False), *two, *two, (3, "number", "R3", "—", False)]))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_number_is_read_exactly_or_not_at_all(spark):
+    given = {
+        "1.5": "1.500000", "0.0000005": None, "1.1234567": None, "1e-3": "0.001000", "12345678901234": None, "123456789012": "123456789012.000000",
+        "0.0000000000000000001": None, "0.000000000000000000": "0.000000", "1.10000000000000000000": "1.100000", "1.1000000000000000001": None, "x": None, "": None}
+    rows = spark.createDataFrame([(k,) for k in given], "v string").select("v", amounts.measure("v").cast("string").alias("n")).collect()
+    assert {r.v: r.n for r in rows} == given
+
+
+def test_only_shown_rows_are_collected(spark):
+    compared = spark.createDataFrame([
+        (1, "BT-1", "BT-1", "correct", "a", "a"), (1, "BT-2", "BT-2", "wrong", "b", "c"), (1, "BT-9", "BT-9", "invented", None, "d"),
+        (1, "BT-3", "BT-3", "not extracted", "e", None), (2, "BT-1", "BT-1", "correct", "a", "a"), (None, "BT-1", "BT-1", "wrong", "a", "b")],
+        "doc_id bigint, key string, term string, status string, want string, got string")
+    runs = spark.createDataFrame([(1,), (2,), (3,), (None,)], "doc_id bigint").selectExpr(
+        "doc_id", "'OUTPUT' state", "'OUTPUT' expected", "cast(null as string) error", "true valid", "0 iterations", "0L fields_without_provenance",
+        "0.0 cost", "1L ms", "'1' truth_grand", "'1' got_grand", "'1' truth_due", "'1' got_due")
+    for given in (compared, scoring.for_counting(compared)):
+        df = scoring.score_documents(given, runs)
+        got = {r.doc_id: (r.fields_total, r.fields_correct, r.fields_invented, r.invented_keys, r.wrong_keys) for r in df.collect()}
+        assert got == {1: (3, 1, 1, ["BT-9=d"], ["BT-2: c (truth b)"]), 2: (1, 1, 0, [], []), 3: (0, 0, 0, [], []), None: (0, 0, 0, [], [])}
+        # A list is collected behind a filter, the counts are not.
+        assert "status" in re.search(r"pushed|Filter .*status.*IN .*|Filter .*\bin\b.*", plan_of(df), re.I).group(0)
+
+
+def test_lines_travel_as_numbers(spark, tmp_path):
+    rows = [(1, 5, 6, 2, 3.0, 10.5, 0.0, 0.19, "N", "O", None), (1, 7, 6, 1, 2.0, 1.25, 0.0, 0.0, "R", "O", None)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = Tables(spark, str(tmp_path)).lazy_lines
+    plan = plan_of(lines)
+    assert "Artikel" in plan and "Artikel" not in plan[plan.index("Exchange hashpartitioning"):]
+    got = sorted(tuple(r) for r in lines.select("doc_id", "line_index", "id", "name", "quantity", "unit_code", "net_price", "price_base_quantity", "vat_category", "vat_rate").collect())
+    assert got == [(1, 0, "1", "Artikel 7", "2", "H87", "1.25", None, "O", None), (1, 1, "2", "Artikel 5", "3", "HUR", "10.50", "2", "S", "19.00")]
