@@ -5,11 +5,14 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from belegwerk import model
 from belegwerk.functions import normalize
 from belegwerk.functions.text import WS, canonical, nfkc, squeeze, strip
 from belegwerk.operators import amounts, corpus, evidence, scoring
+from belegwerk.operators import tables as tables_of
 from belegwerk.plans import queries_text, views
 from belegwerk.plans.bindings import Tables
+from belegwerk.session import materialise_by
 
 
 def plan_of(df) -> str:
@@ -186,3 +189,27 @@ def test_lines_travel_as_numbers(spark, tmp_path):
     assert "Artikel" in plan and "Artikel" not in plan[plan.index("Exchange hashpartitioning"):]
     got = sorted(tuple(r) for r in lines.select("doc_id", "line_index", "id", "name", "quantity", "unit_code", "net_price", "price_base_quantity", "vat_category", "vat_rate").collect())
     assert got == [(1, 0, "1", "Artikel 7", "2", "H87", "1.25", None, "O", None), (1, 1, "2", "Artikel 5", "3", "HUR", "10.50", "2", "S", "19.00")]
+
+
+def test_tables_stored_by_a_key_meet_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (None, 0, "d"), (1, 0, "a")], "doc_id bigint, line_index int, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = materialise_by(rows, "kept", "doc_id", "line_index")
+        assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+        met = kept.join(kept.withColumnRenamed("v", "w"), ["doc_id", "line_index"], "full_outer")
+        assert "Exchange" not in plan_of(met) and met.count() == 4 + 1 + 1 + 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_values_that_differ_in_spaces_alone_are_the_same(spark):
+    names = [p for p, _ in tables_of.HEADER_COLUMNS]
+    kinds = "doc_id bigint, " + ", ".join(f"`{c}` string" for _, c in tables_of.HEADER_COLUMNS)
+    one = lambda **v: tables_of.nest_invoice(spark.createDataFrame([(1, *[v.get(p) for p in names])], kinds))
+    none = spark.createDataFrame([], model.LINE_DDL.replace("doc_id string", "doc_id bigint")), spark.createDataFrame([], model.EXEMPTION_DDL.replace("doc_id string", "doc_id bigint"))
+    want = one(number="A  1 ", currency="EUR", dueDate="", buyerReference=" ", orderReference="x")
+    got = one(number="A 1", currency="EUR", dueDate="d", buyerReference=None, orderReference="y ")
+    rows = {r.key: (r.status, r.want, r.got) for r in scoring.compare_tables((want, *none), (got, *none)).collect()}
+    assert rows == {"BT-1": ("correct", "A 1", "A 1"), "BT-5": ("correct", "EUR", "EUR"), "BT-9": ("invented", None, "d"),
+                    "BT-10": ("not extracted", "", None), "BT-13": ("wrong", "x", "y")}
