@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from belegwerk import model
 from belegwerk.functions import normalize
-from belegwerk.functions.text import WS, canonical, nfkc, squeeze, strip
+from belegwerk.functions.text import WS, canonical, nfkc, squeeze, squeeze_untidy, strip
 from belegwerk.operators import amounts, corpus, evidence, scoring
 from belegwerk.operators import tables as tables_of
 from belegwerk.plans import queries_text, views
@@ -213,3 +213,24 @@ def test_values_that_differ_in_spaces_alone_are_the_same(spark):
     rows = {r.key: (r.status, r.want, r.got) for r in scoring.compare_tables((want, *none), (got, *none)).collect()}
     assert rows == {"BT-1": ("correct", "A 1", "A 1"), "BT-5": ("correct", "EUR", "EUR"), "BT-9": ("invented", None, "d"),
                     "BT-10": ("not extracted", "", None), "BT-13": ("wrong", "x", "y")}
+
+
+def test_tidy_texts_need_no_pattern(spark):
+    odd = ["a b", " a", "a ", "a  b", "a\tb", "a\nb", "a\rb", "a\x0bb", "a\x0cb", "a\x00b", "a\x7fb", "A\\nB", "a b", "ﬁ", "„a“ –", "", " ", "Ä  ö", None, "Ω"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v string")
+    rows = df.select("v", canonical("v").alias("c"), squeeze(F.col("v")).alias("s"), squeeze_untidy(F.col("v")).alias("u")).collect()
+    spaces = re.compile("[" + WS.replace(r"\x0B", "\x0b") + "]+")
+    for r in rows:
+        assert r.s == r.u
+        if r.v is None:
+            assert r.c is None
+        else:
+            text = unicodedata.normalize("NFKC", r.v.replace("\\n", " ")).translate(str.maketrans("–„“", '-""'))
+            assert r.c == spaces.sub(" ", text).strip(" ").lower()
+
+
+def test_headers_are_read_in_parts(spark):
+    from belegwerk.plans import queries_repair
+    t = Tables(spark, "/root/testdata/sf0.001")
+    queries_repair.reading(t)
+    assert "Bucketed: true" in plan_of(t.keyed_invoices.groupBy("doc_id").count()) and "invoices" not in vars(t)
