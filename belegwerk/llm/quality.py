@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -196,12 +197,24 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
     others = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
     pool = others.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(training.pool)
     rows = known.unionByName(views.join(F.broadcast(pool), "doc_id").withColumn("good", F.lit(None).cast("int")))
-    shapes, words, meta, good, order = _features(rows, lexicon)
-    return _co_train(shapes, words, meta, good, order, lexicon, training)
+    return _trained(_features(rows, lexicon), lexicon, training)
 
 
-def _features(rows: DataFrame, lexicon: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The sample's features, made in tasks and brought to the driver (bounded by the sample)."""
+def _trained(features: DataFrame, lexicon: np.ndarray, training: Training) -> Model:
+    """Fitted in a task, which holds the features of the sample (bounded by it); only the model comes to the driver, whose
+    memory also has to do for the jobs of a whole pipeline."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            model = _co_train(*_blocks(pa.Table.from_batches(held), len(lexicon)), lexicon, training)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return pickle.loads(features.repartition(1).mapInArrow(run, "model binary").first().model)
+
+
+def _features(rows: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """The sample's features: doc_id, good (null where not labelled), shapes, words, meta."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -212,12 +225,17 @@ def _features(rows: DataFrame, lexicon: np.ndarray) -> tuple[np.ndarray, ...]:
                  pa.array([r.tobytes() for r in _shapes(flat, offsets)], pa.binary()), pa.array([r.tobytes() for r in words], pa.binary()),
                  pa.array([r.tobytes() for r in _metadata(batch)], pa.binary())], ["doc_id", "good", "shapes", "words", "meta"])
 
-    found = rows.mapInArrow(run, "doc_id string, good int, shapes binary, words binary, meta binary").toArrow().sort_by("doc_id")
+    return rows.mapInArrow(run, "doc_id string, good int, shapes binary, words binary, meta binary")
+
+
+def _blocks(found: pa.Table, terms: int) -> tuple[np.ndarray, ...]:
+    """shapes, words, meta, good (-1 where not labelled) and a fixed order of the rows, by doc_id."""
+    found = found.sort_by("doc_id")
     block = lambda name, kind, width: np.frombuffer(b"".join(found.column(name).to_pylist()), kind).reshape(-1, width)
     good = np.array([-1 if g is None else g for g in found.column("good").to_pylist()])
     ids = text_bytes(pa.array([f"{d}." for d in found.column("doc_id").to_pylist()]))
     order, _ = word_values(*ids, SPACED)
-    return block("shapes", np.float64, SHAPES), block("words", np.uint8, len(lexicon)).astype(np.float64), block("meta", np.float64, _META), good, order
+    return block("shapes", np.float64, SHAPES), block("words", np.uint8, terms).astype(np.float64), block("meta", np.float64, _META), good, order
 
 
 def _co_train(shapes: np.ndarray, words: np.ndarray, meta: np.ndarray, good: np.ndarray, order: np.ndarray,

@@ -1,3 +1,4 @@
+import os
 import random
 
 from belegwerk.llm import quality
@@ -44,3 +45,17 @@ def test_awkward_rows_and_labels(spark, docs, none):
     for nothing in (labels.limit(0), labels.where("quality = 1")):
         assert all(r.keep and r.score == 1 for r in quality.classify(docs, nothing).collect())
     assert quality.classify(none, labels).collect() == []
+
+
+def test_the_fit_runs_in_a_task_and_not_in_the_driver(spark, monkeypatch):
+    rows, _, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    driver, fit = os.getpid(), quality._co_train
+
+    def elsewhere(*args):
+        assert os.getpid() != driver, "the features of the sample are in the driver"
+        return fit(*args)
+
+    monkeypatch.setattr(quality, "_co_train", elsewhere)
+    model = quality.train(docs, spark.createDataFrame(labels, LABELS))
+    assert model.text is not None and len(model.lexicon) <= quality.LEXICON
