@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -10,9 +11,10 @@ from belegwerk.functions import normalize
 from belegwerk.functions.text import WS, canonical, nfkc, squeeze, squeeze_untidy, strip
 from belegwerk.operators import amounts, corpus, evidence, scoring
 from belegwerk.operators import tables as tables_of
-from belegwerk.plans import queries_text, views
+from belegwerk.plans import queries_score, queries_text, views
 from belegwerk.plans.bindings import Tables
 from belegwerk.session import materialise_by
+from belegwerk.sources import invoice_xml
 
 
 def plan_of(df) -> str:
@@ -234,3 +236,53 @@ def test_headers_are_read_in_parts(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     queries_repair.reading(t)
     assert "Bucketed: true" in plan_of(t.keyed_invoices.groupBy("doc_id").count()) and "invoices" not in vars(t)
+
+
+def test_invented_facts_are_those_of_the_flat_facts_without_shuffling_them(spark):
+    address = "struct<line1:string,line2:string,city:string,postcode:string,country_code:string>"
+    head = tables_of.nest_invoice(spark.createDataFrame([(1,)], "doc_id bigint").select("doc_id", *[
+        F.lit(None).cast("string").alias(c) for _, c in tables_of.HEADER_COLUMNS])).schema
+    assert address in head.simpleString()
+    blank = spark.createDataFrame([(1,), (1,), (2,), (None,), (3,)], "doc_id bigint")
+    facts = lambda **given: tables_of.nest_invoice(blank.select("doc_id", *[
+        F.expr(given.get(c, "null")).cast("string").alias(c) for _, c in tables_of.HEADER_COLUMNS]))
+    of_lines = lambda rows: spark.createDataFrame(rows, "doc_id bigint, line_index int, n string").select(
+        "doc_id", "line_index", *[(F.col("n") if c in ("quantity", "name") else F.lit(None).cast("string")).alias(c) for _, _, c in model.LINE_FIELDS])
+    of_ex = lambda rows: spark.createDataFrame(rows, "doc_id bigint, ex_index int, category string, reason string, reason_code string")
+    want = (facts(number="case when doc_id = 1 then 'a' else '' end", currency="' '"), of_lines([(1, 0, ".0"), (1, 0, None), (1, 1, "x"), (None, 0, "1")]),
+            of_ex([(1, 0, "E", "r", None), (1, 1, "E", "", "c"), (2, 0, None, "r", None)]))
+    have = (facts(number="'b'", currency="'EUR'", issue_date="doc_id"), of_lines([(1, 0, "1.0"), (1, 0, "2"), (1, 1, "2"), (1, None, "3"), (None, 0, "1")]),
+            of_ex([(1, 0, "E", "r", "d"), (2, 0, None, "r", "e"), (3, 0, "O", " ", "f")]))
+    plain = scoring.invented_keys(scoring.flatten_facts(*want), scoring.flatten_facts(*have))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert rows(scoring.invented_in_tables(want, have)) == rows(plain) != []
+    stored = [(materialise_by(side[0], "i", "doc_id"), materialise_by(side[1], "l", "doc_id", "line_index"), side[2]) for side in (want, have)]
+    # The exemptions of both sides are grouped and met; nothing else is moved.
+    assert "BroadcastExchange" not in plan_of(scoring.invented_in_tables(*stored))
+    assert len(re.findall("Exchange hashpartitioning", plan_of(scoring.invented_in_tables(*stored)))) <= 4
+    assert rows(scoring.invented_in_tables(*stored)) == rows(plain)
+
+
+def invoice_tables(spark, folder) -> Tables:
+    given = {
+        "nation": ("n_nationkey int, n_name string", [(1, "GERMANY")]),
+        "customer": ("c_custkey bigint, c_name string, c_nationkey int", [(15, "Kunde", 1)]),
+        "supplier": ("s_suppkey bigint, s_name string, s_nationkey int", [(1, "Haus", 1)]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderdate date, o_totalprice double", [(k, 15, date(2020, 1, k), 10.0 * k) for k in (1, 2, 3)]),
+        "lineitem": ("l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_shipdate date, "
+                     "l_tax double, l_returnflag string", [(k, n, n, 1, 3.0, 10.0 + k, date(2020, 2, 1), 0.07 * (n % 2), "E") for k in (1, 3) for n in (2, 1, 3)]),
+    }
+    for name, (kind, rows) in given.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/{name}.parquet")
+    return Tables(spark, str(folder))
+
+
+def test_xml_lines_are_read_once_and_placed_once(spark, tmp_path):
+    t = invoice_tables(spark, tmp_path)
+    made = queries_score.written(t)
+    # What is left to do reads the stored lines; only exemptions are still made from the given ones.
+    assert len(re.findall(r"ReadSchema: struct<[^>]*l_returnflag", plan_of(made))) == 1 and "Window" not in plan_of(made)
+    plain = invoice_xml.write_invoice_xml(queries_score.good_invoices(t), t.placed_nets, t.placed_breakdown, t.totals, t.exemptions)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert rows(made) == rows(plain) and made.count() == 3
+    assert made.where("xml like '%<ram:LineID>3</ram:LineID>%'").count() == 2
