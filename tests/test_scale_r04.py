@@ -6,8 +6,8 @@ import os
 from pyspark.sql import functions as F
 
 from belegwerk.functions.text import canonical
-from belegwerk.operators import evidence
-from belegwerk.plans import assemble, queries_repair
+from belegwerk.operators import corpus, evidence
+from belegwerk.plans import assemble, queries_corpus, queries_repair
 from belegwerk.plans.bindings import Tables
 from belegwerk.session import _storing, discard, materialise, materialise_by
 
@@ -83,3 +83,24 @@ def test_the_assembly_moves_no_facts_and_keeps_no_spent_table(spark, tmp_path):
     for name in ("accepted", "rejected", "missing", "printed"):
         assert rows(made[name]) == rows(plain[name])
     assert made["accepted"].count() > 0 and "Exchange" not in plan_of(made["accepted"].groupBy("doc_id").count())
+
+
+def test_printed_variants_are_not_shuffled(spark, tmp_path):
+    t = invoice_tables(spark, tmp_path)
+    made = queries_corpus.text_page_variants(t)
+    assert "Exchange" not in plan_of(made)
+    assert {(r.doc_id, r.page) for r in made.collect()} == {
+        (f"{v[0]}/{d}-{v[1]}", p) for d in (1, 3) for v in corpus.VARIANTS for p in ((1, 2) if v[6] else (1,))}
+
+
+def test_pages_of_blocks_in_one_table_and_in_several(spark):
+    """More rows than a piece holds, blocks in reverse, a split page, a row without text, an option that comes twice."""
+    kind = "doc_id bigint, block int, seq int, text string"
+    head, lines = [(d, b, s, f"{b}.{s}") for d in (1, 2) for b in (2, 0, 1) for s in (1, 0)], [(d, 3, s, f"l{s}") for d in (1, 2) for s in reversed(range(600))]
+    rest = [(1, 4, 0, None), (2, 5, 0, "sum"), (3, 5, 0, "no option"), (None, 5, 0, "no number")]
+    options = spark.createDataFrame([(1, True, False), (2, False, True), (2, False, True), (4, False, False)], "doc_id bigint, shuffled boolean, split boolean")
+    several = corpus.text_pages([spark.createDataFrame(rows_, kind) for rows_ in (head, lines, rest)], options)
+    text = "\n".join(f"l{s}" for s in range(600))
+    twice = lambda lines_: "\n".join(x for line in lines_.split("\n") for x in (line, line))
+    assert rows(several) == [(1, 1, "2.0\n2.1\n1.0\n1.1\n0.0\n0.1\n" + text + "\n"), (2, 1, twice("0.0\n0.1\n1.0\n1.1\n2.0\n2.1")), (2, 2, twice(text + "\nsum"))]
+    assert rows(corpus.text_pages([spark.createDataFrame([*head, *lines, *rest], kind)], options)) == rows(several)
